@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, rules
+from . import packing, rules, secret_scan, tiff
 
 
 def queries():
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_tiff": tiff.op2_tiff,
         "op5_packing": packing.op5_packing,
         "op9_compression_bands": rules.op9_compression_bands,
     }
