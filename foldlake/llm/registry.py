@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, rules, secret_scan, tiff
+from . import html_text, packing, quality, rules, secret_scan, tiff
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_tiff": tiff.op2_tiff,
         "op5_packing": packing.op5_packing,
+        "op6_text_density": html_text.op6_text_density,
+        "op7_neighbour_votes": quality.op7_neighbour_votes,
         "op9_compression_bands": rules.op9_compression_bands,
     }
 
