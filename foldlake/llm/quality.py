@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-HASHED, RANK, SAMPLE, NEIGHBOURS = 1024, 64, 4096, 25
+HASHED, RANK, SAMPLE, NEIGHBOURS = 1024, 64, 4096, 15
+#: Of a shape term against a common trigram.
+SHAPE_WEIGHT = 2.0
 KNOTS = np.array([0.0, 0.02, 0.08, 0.2, 0.45, 1.0])
 SHAPES = 9
 BLOCK = 1 << 20
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     rows.sort(key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3
-    weights[HASHED:] = 1.0
+    weights[HASHED:] = SHAPE_WEIGHT
     x = x * (weights := weights.astype(np.float32))
     values, directions = np.linalg.eigh((x.T @ x).astype(np.float64))
     model = Model(weights, np.ascontiguousarray(directions[:, ::-1][:, :rank]).astype(np.float32), none.vectors, np.array([want[r.doc_id] for r in rows]))
