@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, packing, quality, rules, secret_scan, tiff, warc
+from . import bagminhash, html_text, mixing, packing, quality, rules, secret_scan, tiff, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_packing": packing.op5_packing,
         "op6_text_density": html_text.op6_text_density,
         "op7_neighbour_votes": quality.op7_neighbour_votes,
+        "op8_bagminhash": bagminhash.op8_bagminhash,
         "op9_compression_bands": rules.op9_compression_bands,
         "op10_merkle_audit": warc.op10_merkle_audit,
     }
