@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, html_text, mixing, packing, quality, rules, secret_scan, tiff, warc
+from . import bagminhash, html_text, mixing, packing, quality, rules, secret_scan, sentence_spans, tiff, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_tiff": tiff.op2_tiff,
         "op3_pfair_mix": mixing.op3_pfair_mix,
+        "op4_sentence_spans": sentence_spans.op4_sentence_spans,
         "op5_packing": packing.op5_packing,
         "op6_text_density": html_text.op6_text_density,
         "op7_neighbour_votes": quality.op7_neighbour_votes,

@@ -1,0 +1,119 @@
+"""Substring dedup: sliding sentence spans.
+
+A text's sentences end at . ! ? (or their wide forms) before white space, and at line ends. From each sentence starts one
+span: the shortest run of SENTENCES or more consecutive sentences with MIN_WORDS or more words (none if the text ends
+before). Spans are hashed over their words, 128 bits, and joined over all texts. The first occurrence of a span is the
+one in the smallest doc_id, then the smallest text hash, then the earliest; all sentences that another occurrence covers
+are removed, with the white space that follows them.
+
+Only spans that occur twice or more are joined back, against a table of one row for each; a span with very many
+occurrences is counted before the shuffle and its join is split by size, so no task gets a whole group.
+
+Defined cases: a null doc_id counts as the smallest, a null text as ''. Rows that repeat a doc_id and text are one
+document and get the same result. Texts of fewer sentences or words than a span needs stay as they are. An empty table
+gives no rows.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import slices, table
+
+SENTENCES, MIN_WORDS = 2, 16
+SENTENCE = re.compile(r"[^\n]+?(?:[.!?…。！？]+[\"'”’)\]]*(?=\s)|(?=\n)|\Z)\s*", re.S)
+LEAST = -(2**63)
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each; they cover the text but for white space in front."""
+    return [m.span() for m in SENTENCE.finditer(text)]
+
+
+def spans(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
+    """(first sentence, last sentence, 16-byte hash) of each span."""
+    parts = [text[a:b].split() for a, b in cuts]
+    sizes = [len(p) for p in parts]
+    joined = [" ".join(p) for p in parts]
+    out, j, words = [], 0, 0
+    for i in range(len(cuts)):
+        while j < len(cuts) and (words < MIN_WORDS or j - i < SENTENCES):
+            words += sizes[j]
+            j += 1
+        if words < MIN_WORDS or j - i < SENTENCES:
+            break
+        out.append((i, j - 1, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))))
+        words -= sizes[i]
+    return out
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __id and __text, which name a document, and __t, its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)), "__hash": F.xxhash64(text), "__t": text})
+
+
+def _occurrences(df: DataFrame) -> DataFrame:
+    """(h1, h2, id, hash, start, stop) for each span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hashes, texts in slices(batches, 2):
+            cols: list[list] = [[] for _ in range(6)]
+            for doc, own, text in zip(ids, hashes, texts):
+                found = spans(text, sentences(text))
+                cols[0] += [int.from_bytes(h[:8], "little", signed=True) for *_, h in found]
+                cols[1] += [int.from_bytes(h[8:], "little", signed=True) for *_, h in found]
+                cols[2] += [doc] * len(found)
+                cols[3] += [own] * len(found)
+                cols[4] += [i for i, *_ in found]
+                cols[5] += [j for _, j, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2)], ["h1", "h2", "id", "hash", "start", "stop"])
+
+    return df.mapInArrow(run, "h1 bigint, h2 bigint, id bigint, hash bigint, start int, stop int")
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """(__id, __hash, spans, first_ids): the non-first spans of each document that has any, and where their firsts are."""
+    found = _occurrences(keyed(docs).select("__id", "__hash", "__t"))
+    place = F.struct("id", "hash", "start")
+    again = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
+    later = found.join(again, ["h1", "h2"]).where(place != F.col("first"))
+    return later.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"), F.collect_set("first.id").alias("__firsts"))
+
+
+def _strip(text: str, found: list[dict] | None) -> tuple[str, int, int]:
+    """(text without the covered sentences, sentences, sentences removed)."""
+    cuts = sentences(text)
+    if not found:
+        return text, len(cuts), 0
+    gone: set[int] = set()
+    for s in found:
+        gone.update(range(s["start"], s["stop"] + 1))
+    lead = text[: cuts[0][0]]
+    return lead + "".join(text[a:b] for k, (a, b) in enumerate(cuts) if k not in gone), len(cuts), len(gone)
+
+
+def dedup_spans(docs: DataFrame) -> DataFrame:
+    """A row for each of ``docs``: doc_id, text without repeated spans, n_sentences, n_removed, first_doc_ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found, firsts, texts in slices(batches, 3):
+            made = [_strip(t, f) for t, f in zip(texts, found)]
+            first = [sorted(x for x in f if x != LEAST) if f else [] for f in firsts]
+            cols = [ids, [m[0] for m in made], [m[1] for m in made], [m[2] for m in made], first]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "text", "n_sentences", "n_removed", "first_doc_ids"])
+
+    # neither side is broadcast by hint: the spans' side grows with the corpus
+    joined = keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "__id", "__hash", "__t").join(covered(docs), ["__id", "__hash"], "left")
+    return joined.select("doc_id", "__spans", "__firsts", "__t").mapInArrow(run, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, first_doc_ids array<bigint>")
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(table(spark, sf_dir, "documents"))
