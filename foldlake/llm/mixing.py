@@ -61,16 +61,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
     before = sizes.select("__src", "__bucket", (F.sum("__n").over(Window.partitionBy("__src").orderBy("__bucket")) - F.col("__n")).alias("__before"))
     ranked = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__src", "__bucket").orderBy("__order", "doc_id")))
     plan = schedule(shares(docs, weights, resolution))
-    length = plan.select(F.col("src").alias("__src"), "a", "period").distinct()
+    length = plan.select(F.col("src").alias("__src"), F.col("a").alias("__a"), F.col("period").alias("__period")).distinct()
     slots = plan.select(F.col("src").alias("__src"), F.col("k").alias("__k"), F.col("slot").alias("__in"))
     rank = F.col("__before") + F.col("__rn") - 1
     return (
         ranked.join(before, ["__src", "__bucket"])
         .withColumns({"__block": F.floor(rank / block), "__pos": rank % block})
         .join(F.broadcast(length), "__src")  # a row for each source
-        .withColumn("__k", F.col("__block") % F.col("a"))
+        .withColumn("__k", F.col("__block") % F.col("__a"))
         .join(F.broadcast(slots), ["__src", "__k"])  # a row for each slot of a period
-        .withColumn("__slot", F.expr("__block div a") * F.col("period") + F.col("__in"))
+        .withColumn("__slot", F.expr("__block div __a") * F.col("__period") + F.col("__in"))
         .select(*[docs[c] for c in docs.columns], "__src", "__block", "__slot", "__pos")
     )
 
