@@ -258,7 +258,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named_by = joined.groupBy("label").agg(F.min("rep").alias("class"))
     near = joined.join(named_by, "label").select("node", "class")
     whole = distinct.select("node", "rep").join(near, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce("class", "rep")["doc_id"].alias("class_id"))
-    return signed.select("doc_id", "node"), whole
+    return signed.select("doc_id", "node"), cut(whole)  # cut, so that a join of the rows with it can be split by size
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
