@@ -1 +1 @@
-"""Keyed-edit analytics on Spark: an append-only edit log folded into one value per key."""
+"""Keyed-edit analytics on Spark: an append-only edit log folded into one current value per key."""

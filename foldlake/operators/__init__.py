@@ -1 +1,3 @@
+"""Operators over edit and item tables: reads, ranges, aggregates, ordered sequences, scripts."""
 
+from . import aggregates, ordered, ranges, read, script  # noqa: F401
