@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, slices, table
 
 SENTENCES, MIN_WORDS = 2, 16
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?…。！？]+[\"'”’)\]]*(?=\s)|(?=\n)|\Z)\s*", re.S)
@@ -83,6 +83,7 @@ def covered(docs: DataFrame) -> DataFrame:
     found = _occurrences(keyed(docs).select("__id", "__hash", "__t"))
     place = F.struct("id", "hash", "start")
     again = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
+    again = cut(again)  # cut, so that the join below is split by size where one span has very many places
     later = found.join(again, ["h1", "h2"]).where(place != F.col("first"))
     return later.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"), F.collect_set("first.id").alias("__firsts"))
 
