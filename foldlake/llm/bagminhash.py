@@ -229,6 +229,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = cut(distinct)
     spots = distinct.select("n", F.explode("bands").alias("bucket"))
     hubs = spots.groupBy("bucket").agg(F.min("n").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = cut(hubs)
     spots = cut(spots.join(hubs, "bucket"))
     pairs = spots.where("n <> hub").select("hub", "n").distinct()
 
@@ -237,7 +238,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a row of each wanted text: the copies' ids differ, so no reducer gets them all
     texts = named(docs).select("__node", F.col("doc_id").cast("bigint").alias("__id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep"))).select("n", "text")
-    unfolded = cut(_unfold(texts)).dropDuplicates(["n"])
+    # cut after the last exchange, so that the joins with it can be split by size
+    unfolded = cut(_unfold(texts).dropDuplicates(["n"]))
     left = unfolded.select(F.col("n").alias("hub"), F.col("bag").alias("hub_bag"))
     both = F.size(F.array_intersect("bag", "hub_bag"))
     checked = pairs.join(unfolded, "n").join(left, "hub").select("hub", "n", both.alias("both"), (F.size("bag") + F.size("hub_bag")).alias("all"))
