@@ -15,7 +15,7 @@ classes come out. Every link counts on the exact overlap of the bags; signatures
 ESTIMATE of the components).
 
 Defined cases: a null text counts as ''. Texts without words are in a class with equal texts only. A class is named by its
-smallest doc_id (null first). Rows that repeat a doc_id and text are copies like any others.
+smallest doc_id (null first); where one doc_id has several texts, two classes can bear one name. Rows that repeat a doc_id and text are copies like any others.
 """
 
 from __future__ import annotations
@@ -223,7 +223,9 @@ def _links(members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, node) of every row, (node, rep, class_id) of every distinct text)."""
+    """((doc_id, node) of every row, (node, rep, class_id, first) of every distinct text).
+
+    rep is the smallest doc_id with that text; the first text of a class has its smallest doc_id (then MD5)."""
     signed = cut(_sign(named(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "__node", F.col("text").cast("string"))))
     distinct = signed.groupBy("node").agg(F.min(F.struct("doc_id")).alias("rep"), F.first("bands").alias("bands")).withColumn("n", F.xxhash64("node"))
     distinct = cut(distinct)
@@ -257,22 +259,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = components(edges, nodes)
 
     joined = distinct.join(labels, "n").select("node", "rep", "label")
-    named_by = joined.groupBy("label").agg(F.min("rep").alias("class"))
+    named_by = joined.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("class"))
     near = joined.join(named_by, "label").select("node", "class")
-    whole = distinct.select("node", "rep").join(near, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce("class", "rep")["doc_id"].alias("class_id"))
+    own = F.struct("rep", "node")
+    whole = distinct.select("node", "rep").join(near, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce(F.col("class"), own).alias("class"))
+    whole = whole.select("node", "rep", F.col("class.rep.doc_id").alias("class_id"), (F.col("class.node") == F.col("node")).alias("first"))
     return signed.select("doc_id", "node"), cut(whole)  # cut, so that a join of the rows with it can be split by size
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, whole = classes(table(spark, sf_dir, "documents"))
-    return rows.join(whole, "node").select("doc_id", "class_id", F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(False)).alias("kept"))
+    return rows.join(whole, "node").select("doc_id", "class_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns as they were: that of the smallest doc_id."""
-    _, whole = classes(docs)
-    first = whole.where(F.col("rep").eqNullSafe(F.col("class_id"))).select(F.col("node").alias("__kept"), F.col("rep").alias("__rep"), F.col("class_id").alias("__class"))
-    # texts of one class with the same smallest doc_id: the smallest MD5
-    first = first.groupBy("__rep", "__class").agg(F.min("__kept").alias("__kept"))
+    first = classes(docs)[1].where("first").select(F.col("node").alias("__kept"), F.col("rep").alias("__rep"))
     kept = named(docs).join(first, (F.col("__node") == F.col("__kept")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__rep")))
     return kept.dropDuplicates(["__node"]).select(*[docs[c] for c in docs.columns])

@@ -1,0 +1,461 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import random
+import re
+import zlib
+from collections import Counter
+from html import unescape
+
+import duckdb
+import numpy as np
+import pytest
+SF = "/root/testdata/sf0.001"
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import foldlake.llm as llm
+from foldlake.llm import bagminhash, html_text, mixing, packing, quality, rules, secret_scan, sentence_spans, tiff, warc
+
+from .conftest import prose
+
+QUERIES = llm.queries()
+
+
+def table(name, columns):
+    return duckdb.connect().sql(f"SELECT {columns} FROM '{SF}/{name}.parquet' ORDER BY 1").fetchall()
+
+
+# --- secrets
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern, least, group in (
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
+        ("access", r"AKIA[A-Z0-9]+", 18, 0),
+        ("hex", r"[0-9a-f]+", 16, 0),
+    ):
+        out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text, re.A) if len(m.group(group)) >= least]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "SECRET", "api_key", "=", ": ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "x", " ", "password=password:", "ſ", "K"]), max_size=30))
+def test_base_spans(parts):
+    assert secret_scan.base_spans("".join(parts)) == brute_base("".join(parts))
+
+
+def test_network_on_findings_it_never_saw():
+    net = secret_scan.default_network()
+    found = secret_scan.findings(2000, 1234)
+    x, inside = secret_scan.encode([secret_scan.windows(t, s, e)[0] for t, s, e, _ in found])
+    y, hit = np.array([k for *_, k in found]), net.probability(x, inside) >= net.threshold
+    assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.02
+
+
+def test_network_gradient():
+    net = secret_scan.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    found = secret_scan.findings(8, 5)
+    x, inside = secret_scan.encode([secret_scan.windows(t, s, e)[0] for t, s, e, _ in found])
+    y = np.array([k for *_, k in found], float)
+
+    def loss():
+        z = net._forward(x, inside)[0].astype(np.float64)
+        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y)
+
+    grads = net._gradient(x, inside, y)
+    for name, at in (("W", (3, 2)), ("b", (1,)), ("v", (5,)), ("E", (20, 3))):
+        old, step = net.p[name][at], 1e-4
+        net.p[name][at] = old + step
+        up = loss()
+        net.p[name][at] = old - step
+        down = loss()
+        net.p[name][at] = old
+        assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-3, name
+
+
+def test_secret_scan_query(spark):
+    texts = dict(table("documents", "doc_id, text"))
+    for r in QUERIES["op1_secret_scan"](spark, SF).collect():
+        base = brute_base(texts[r.doc_id])
+        assert Counter(k for k, *_ in base) == Counter({k: v for k, v in (("assign", r.n_assign), ("access", r.n_access), ("hex", r.n_hex)) if v})
+        assert set(filter(None, secret_scan.joined(base).split(","))) <= set(r.spans.split(","))
+
+
+# --- tiff
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("tile", [None, (32, 16)])
+def test_tiff_round_trip(compression, predictor, tile):
+    r = np.random.default_rng(1)
+    pages = [r.integers(0, 256 if k else 3, (h, w, s), np.uint8) for k, (h, w, s) in enumerate([(1, 1, 1), (37, 45, 3), (100, 64, 3), (16, 200, 1)])]
+    got = list(tiff.read_pages(tiff.write_tiff(pages, compression, predictor, rows=7, tile=tile)))
+    assert [p.pixels for p in got] == [p.tobytes() for p in pages]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=3000))
+def test_codecs(data):
+    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+    assert tiff.packbits_decode(tiff.packbits_encode(data)) == data
+
+
+def test_lzw_fills_its_table():
+    data = np.random.default_rng(2).integers(0, 256, 40_000, np.uint8).tobytes()
+    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+
+
+def test_lzw_known_codes():
+    # the worked example of the format's specification
+    assert tiff.lzw_decode(bytes.fromhex("80 01 E0 40 80 44 08 0C 06 80 80".replace(" ", ""))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_tiff_big_endian_planar_16_bits():
+    import struct
+
+    a = np.arange(12, dtype=">u2").reshape(2, 3, 2) * 300
+    out = bytearray(struct.pack(">2sHI", b"MM", 42, 0))
+    places = []
+    for plane in range(2):
+        places.append(len(out))
+        out += a[:, :, plane].tobytes()
+    struct.pack_into(">I", out, 4, len(out))
+    at = len(out) + 2 + 12 * 9 + 4
+    tags = [(256, 3, 1, struct.pack(">HH", 3, 0)), (257, 3, 1, struct.pack(">HH", 2, 0)), (258, 3, 2, struct.pack(">HH", 16, 16)), (259, 3, 1, struct.pack(">HH", 1, 0)), (273, 4, 2, struct.pack(">I", at)), (277, 3, 1, struct.pack(">HH", 2, 0)), (278, 3, 1, struct.pack(">HH", 2, 0)), (279, 3, 2, struct.pack(">HH", 12, 12)), (284, 3, 1, struct.pack(">HH", 2, 0))]
+    out += struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHI", *t[:3]) + t[3] for t in tags) + struct.pack(">I", 0) + struct.pack(">II", *places)
+    (page,) = tiff.read_pages(bytes(out))
+    assert (page.bits, page.samples) == (16, 2) and page.pixels == a.tobytes()
+
+
+def test_tiff_pages_operator(spark):
+    good = tiff.write_tiff([np.zeros((2, 2, 1), np.uint8)] * 3, tiff.PACKBITS)
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"II*\0nonsense")), (3, None), (4, bytearray(b""))], "id int, blob binary")
+    rows = tiff.tiff_pages(df, "id", "blob").collect()
+    assert [(r.id, r.page) for r in rows if r.error is None] == [(1, 0), (1, 1), (1, 2)]
+    assert [r.id for r in rows if r.error] == [2]
+
+
+def test_tiff_query(spark):
+    texts = dict(table("documents", "doc_id, text"))
+    import hashlib
+
+    for r in QUERIES["op2_tiff"](spark, SF).collect():
+        data = texts[r.doc_id].encode()
+        payload = data.ljust(max(1, -(-len(data) // 192)) * 192)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+# --- mixing
+
+
+def test_mix_stays_within_one_block(spark):
+    rows = QUERIES["op3_pfair_mix"](spark, "/root/testdata/sf0.01").collect()
+    sizes = Counter(r.source for r in rows)
+    slots = {r.slot: r.source for r in rows}
+    share = {r.src: r.a for r in mixing.shares(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    period, done = sum(share.values()), Counter()
+    last = {s: (n - 1) // mixing.BLOCK for s, n in sizes.items()}
+    for t in range(max(slots) + 1):
+        for s, a in share.items():
+            if done[s] <= last[s]:
+                assert abs(done[s] - a * t / period) < 1, (t, s)
+        if t in slots:
+            done[slots[t]] += 1
+
+
+def test_mix_given_weights(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(2000)], "doc_id bigint, source string")
+    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
+    rows = mixing.mix(docs, weights, block=4).orderBy("__slot", "__pos").limit(800).collect()
+    assert abs(sum(r.source == "a" for r in rows) - 600) <= 4
+
+
+# --- spans
+
+
+def test_spans_against_brute_force(spark):
+    shared = prose(99, 60)
+    rows = [(i, prose(i, 80) + " " + (shared if i % 3 == 0 else "") + " " + prose(100 + i, 40)) for i in range(20)]
+    got = {r.doc_id: r for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen = set()
+    for d, t in rows:
+        cuts, gone = sentence_spans.sentences(t), set()
+        for i, j, _ in sentence_spans.spans(t, cuts):
+            key = " ".join(t[cuts[i][0] : cuts[j][1]].split())
+            gone |= set(range(i, j + 1)) if key in seen else set()
+            seen.add(key)
+        assert got[d].n_removed == len(gone) and (len(gone) > 0) == (d % 3 == 0 and d > 0)
+        assert got[d].text == "".join(t[a:b] for k, (a, b) in enumerate(cuts) if k not in gone)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=".!? \nab\"", max_size=200))
+def test_sentences_cover_the_text(text):
+    cuts = sentence_spans.sentences(text)
+    assert "".join(text[a:b] for a, b in cuts) == (text[cuts[0][0] :] if cuts else "") and not text[: cuts[0][0] if cuts else None].strip()
+
+
+# --- packing
+
+
+def test_tokens_are_the_tokenizers():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [t for _, t in table("documents", "doc_id, text")] + ["", "a<|endoftext|>b", "  \t\n\x1c\x85\xa0x ", "　 é\U0001f600'll 12³", " " * 3000, "don't  stop\n\n\n"]
+    r = random.Random(1)
+    texts += ["".join(r.choices(" \n\t\xa0a1é中'.!<|ſ\x1d", k=60)) for _ in range(300)]
+    for t in texts:
+        assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_first_fit(sizes):
+    sizes = sorted(sizes, reverse=True)
+    bins, offsets = packing.first_fit_decreasing(np.array(sizes, np.int64), 50)
+    free: list[int] = []
+    for s, b, o in zip(sizes, bins.tolist(), offsets.tolist()):
+        k = next((i for i, f in enumerate(free) if f >= s), len(free))
+        if k == len(free):
+            free.append(50)
+        assert (b, o) == (k, 50 - free[k])
+        free[k] -= s
+
+
+def test_packing_query(spark):
+    rows = QUERIES["op5_packing"](spark, SF).collect()
+    at: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 2048 and sum(at.values()) / (2048 * len(at)) > 0.97
+    docs: dict = {}
+    for r in rows:
+        docs.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for parts in docs.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total
+
+
+# --- pages
+
+
+def test_pages_query(spark):
+    pages = {p: h for p, h in table("pages", "page_id, html")}
+    for r in QUERIES["op6_text_density"](spark, SF).collect():
+        article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        want = [" ".join(unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article)]
+        assert r.text == "\n".join(filter(None, want)) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><div id=nav><a href=x>a</a></div><div><h1>T</h1><p>one two.</p><p>three <b>four</b></p></div><div class='comments'><p>nice</p></div>", "T\none two.\nthree four"),
+        ("<article><p>a&amp;b &#x41;<br>c</p><aside>x</aside><form>f<input></form><script>if(a<b)</script><ul><li>i<li>j</ul></article>", "a&b A c\ni\nj"),
+        ("x<b>a</b>\n<i>b</i>", "xa b"),
+        ("<p>one<p class=notice>two<p>three", "one\nthree"),
+        ("<" * 2000, "<" * 2000),
+    ],
+)
+def test_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<table><tr><td>", "<li>", "</ul>", "<!--", "-->", "<b", ">", "x y", "&amp;", "<script>", "</script>", "<body>", "</html>"]), max_size=40))
+def test_broken_markup_never_fails(parts):
+    html_text.main_text("".join(parts))
+
+
+# --- quality
+
+
+def test_accuracy_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = dict(duckdb.connect().sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    rows = [r for r in QUERIES["op7_neighbour_votes"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) > 0.97
+
+
+def test_scores_ignore_the_label_columns(spark):
+    sf = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    a = {r.doc_id: r.score for r in quality.classify(*sf).collect()}
+    from pyspark.sql import functions as F
+
+    b = {r.doc_id: r.score for r in quality.classify(sf[0].withColumns({"lang": F.lit("x"), "source": F.lit("y")}), sf[1]).collect()}
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_exact_neighbours():
+    r = np.random.default_rng(1)
+    model = quality.Model(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, quality.RANK, dtype=np.float32), np.zeros((0, quality.RANK), np.float32), np.zeros(0))
+    texts = [prose(k, 40) for k in range(60)]
+    model.vectors = model.latent(np.stack([quality.vector(t) for t in texts]))
+    model.labels = r.integers(0, 2, 60).astype(float)
+    for k, t in enumerate(texts[:10]):
+        cos = model.vectors @ model.vectors[k]
+        near = np.argsort(-cos)[: quality.NEIGHBOURS]
+        want = (cos[near] * model.labels[near]).sum() / cos[near].sum()
+        assert abs(model.score([t])[0] - want) < 1e-4
+
+
+# --- near copies
+
+
+def shingles(text):
+    w = text.split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def jaccard(a, b):
+    both = sum((a & b).values())
+    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+
+
+def edited(text, k, seed):
+    w, r = text.split(" "), random.Random(seed)
+    for i in r.sample(range(len(w)), k):
+        w[i] = f"zz{seed}q{i}"
+    return " ".join(w)
+
+
+def test_signatures_are_unbiased():
+    r, gaps = random.Random(3), []
+    for k in range(40):
+        w = {i: r.choice([1, 1, 2, 3, 9, 40]) for i in range(r.randint(1, 60))}
+        v = {i: max(1, c + r.choice([0, 0, -1, 2])) for i, c in w.items() if r.random() < 0.8} | {1000: 2}
+        owner = np.array([0] * len(w) + [1] * len(v))
+        run = bagminhash.mix(np.array([*w, *v], np.uint64) + np.uint64(k * 100_000))
+        s = bagminhash.signatures(2, owner, run, np.array([*w.values(), *v.values()]), 1024)
+        keys = set(w) | set(v)
+        gaps.append((s[0] == s[1]).mean() - sum(min(w.get(x, 0), v.get(x, 0)) for x in keys) / sum(max(w.get(x, 0), v.get(x, 0)) for x in keys))
+    assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.03
+
+
+def test_overlap_is_the_multiset_one(spark):
+    a, b = "x y z " * 40 + prose(1, 50), "x y z " * 25 + prose(1, 50)
+    df = spark.createDataFrame([(0, a), (1, b)], "n bigint, text string")
+    bag = {r.n: np.array(r.bag) for r in bagminhash._unfold(df).collect()}
+    assert abs(bagminhash.overlap(bag[0], bag[1]) - jaccard(shingles(a), shingles(b))) < 1e-9
+
+
+def test_classes_against_brute_force(spark):
+    rows = [(i, prose(i, 150)) for i in range(12)]
+    for k in range(40):  # a large group with light and heavy edits of one text
+        rows.append((100 + k, edited(rows[0][1], [1, 2, 3, 5, 8, 12, 20][k % 7], k)))
+    for k in range(30):  # a chain in which each is a near copy of the one before alone
+        rows.append((200 + k, edited(rows[-1][1] if k else rows[1][1], 2, 500 + k)))
+    rows += [(300, rows[2][1]), (301, "a b"), (302, "a b"), (303, "a c"), (304, ""), (305, "")]
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].join(bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))[1], "node").collect()}
+    bags, parent = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, ta) in enumerate(rows):
+        for b, tb in rows[:i]:
+            if ta == tb or jaccard(bags[a], bags[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {d: root(d) for d, _ in rows}
+
+
+# --- rules
+
+
+def brute_repeat(words):
+    runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    n = Counter(runs)
+    return len({i + k for i, r in enumerate(runs) if n[r] > 1 for k in range(8)})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b"]), max_size=60))
+def test_repeat_words(words):
+    assert rules.repeat_words(words) == brute_repeat(words)
+
+
+def test_rules_query(spark):
+    texts = dict(table("documents", "doc_id, text"))
+    for r in QUERIES["op9_compression_bands"](spark, SF).collect():
+        t = texts[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        again = brute_repeat(words)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, again)
+        assert r.base_failed == (len(words) < 20 or 100 * again > 30 * len(words)) and not (r.base_failed and r.kept)
+
+
+def test_bands():
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    size = lambda b: len(press.compress(b))
+    noise = np.random.default_rng(1).integers(33, 127, 20_000, np.uint8).tobytes()
+    assert rules.verdict(prose(1, 3000).encode(), size)[3]
+    assert not rules.verdict(b"ab cd " * 3000, size)[3]
+    assert not rules.verdict(np.random.default_rng(1).bytes(20_000), size)[3] and not rules.verdict(noise, size)[3]
+    half = prose(1, 1500).encode() + b"spam and eggs " * 1500
+    assert not rules.verdict(half, size)[3]
+
+
+# --- audit
+
+
+def test_audit_finds_what_is_rotten(spark):
+    import hashlib
+
+    n = 3000
+    leaves = [(i % 5, i // 5, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(n)]
+    bad = {7, 2222, 1500}
+    df = spark.createDataFrame([(f, i, a, hashlib.sha256(b"rot").hexdigest() if f + 5 * i in bad else a) for f, i, a in leaves], "file bigint, idx bigint, a string, b string")
+    rows = warc.audit(df).collect()
+    assert len(rows) == n and {r.file + 5 * r.idx for r in rows if not r.ok} == bad
+    assert {r.file for r in rows if not r.root_ok} == {b % 5 for b in bad}
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(llm.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    at = [want.columns.index(c) for c in names]
+    assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_pipeline_against_its_parts(spark):
+    """run() against the stages' decisions worked out one by one on the driver."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = dict(table("documents", "doc_id, text"))
+    good = {r.doc_id for r in QUERIES["op7_neighbour_votes"](spark, SF).collect() if r.predicted}
+    rows, whole = bagminhash.classes(docs.where(docs.doc_id.isin(list(good))))
+    kept = {r.doc_id for r in rows.join(whole, "node").collect() if r.doc_id == r.class_id}
+    net = secret_scan.default_network()
+    import public_tokenizers as P
+
+    encode = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    want = {d: len(encode(secret_scan.masked(texts[d], secret_scan.scan([texts[d]], net)[0]))) + 1 for d in kept}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == want
