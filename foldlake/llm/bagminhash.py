@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import Rounds, cut, slices, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -164,17 +164,18 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(n, label): the smallest n of each node's component; edges are (a, b). Labels spread and are followed until none
-    changes; each round is cut."""
+    changes; each round is a written table."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(nodes.select("n", F.col("n").alias("label")))
+    rounds = Rounds(edges.sparkSession)
+    labels = rounds.keep(nodes.select("n", F.col("n").alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        spread = cut(spread)
+        spread = rounds.keep(spread)
         if not spread.where("label <> old").limit(1).count():
             return spread.select("n", "label")
         jump = spread.select(F.col("n").alias("m"), F.col("label").alias("far"))
-        labels = cut(spread.join(jump, F.col("label") == F.col("m")).select("n", F.col("far").alias("label")))
+        labels = rounds.keep(spread.join(jump, F.col("label") == F.col("m")).select("n", F.col("far").alias("label")))
 
 
 def _links(members: DataFrame) -> DataFrame:
@@ -254,9 +255,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     dealt = held.join(split, "bucket", "left_semi").select("bucket", "n", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("n", F.lit(1)), blocks).cast("int").alias("block"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "label", "block")
-    more = _links(met.join(unfolded, "n"))
-    edges = cut(edges.union(more).distinct())
-    labels = components(edges, nodes)
+    # these links join labels, so the labels are the nodes of what is left to do
+    more = cut(_links(met.join(unfolded, "n")).distinct())
+    ends = labels.select(F.col("n").alias("a"), F.col("label").alias("x")), labels.select(F.col("n").alias("b"), F.col("label").alias("y"))
+    merged = cut(more.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    onto = components(merged, merged.select(F.col("a").alias("n")).union(merged.select("b")).distinct())
+    onto = onto.select(F.col("n").alias("label"), F.col("label").alias("to"))
+    labels = labels.join(onto, "label", "left").select("n", F.coalesce("to", "label").alias("label"))
 
     joined = distinct.join(labels, "n").select("node", "rep", "label")
     named_by = joined.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("class"))

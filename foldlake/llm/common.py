@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,3 +66,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of an iteration, written to the shared folder; all but the last two are deleted again.
+
+    A checkpointed frame keeps the constraints of the plan it came from, which grow from round to round until planning
+    takes longer than the work; a written table starts afresh.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._place, self._kept = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._place}/{len(self._kept)}"
+        df.write.parquet(path)
+        self._kept.append(path)
+        if len(self._kept) > 2:
+            old = self._spark._jvm.org.apache.hadoop.fs.Path(self._kept[-3])
+            old.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self._spark.read.schema(df.schema).parquet(path)
