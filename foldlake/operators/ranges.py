@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import in_hash_mask
+from .ordered import key_bounds
 
 
 def from_key(df: DataFrame, low: str) -> DataFrame:
@@ -39,19 +40,23 @@ def pivot_ranges(pivots: DataFrame) -> DataFrame:
 def route(df: DataFrame, pivots: DataFrame, bound: int = 65536) -> DataFrame:
     """``df`` with the pivot whose range holds the key; keys below the first pivot are not routed.
 
-    Up to ``bound`` pivots are broadcast as one sorted array and searched in each row. More are placed by sorting keys
-    and pivots together by ranges of the key, where the last pivot seen is the answer.
+    Up to ``bound`` pivots are broadcast as ranges and searched in each row. More are placed by sorting the distinct keys
+    and the pivots together inside ranges of the key, where the last pivot seen is the answer; rows then get it by their
+    key, so a key with very many rows is one row where it is sorted.
     """
     ranges = pivot_ranges(pivots)
     if ranges.limit(bound + 1).count() <= bound:
         return df.join(F.broadcast(ranges), (F.col("key") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))).drop("lo", "hi")
-    prefix = F.substring("key", 1, 16)
-    heads = ranges.groupBy(F.substring("lo", 1, 16).alias("p")).agg(F.max("pivot").alias("last"))
-    carried = heads.withColumn("before", F.max("last").over(Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
-    both = df.withColumn("pivot", F.lit(None).cast("int")).unionByName(ranges.select(F.col("lo").alias("key"), "pivot"), allowMissingColumns=True).withColumn("p", prefix).join(carried.select("p", "before"), "p", "left")
-    w = Window.partitionBy("p").orderBy("key", F.col("pivot").asc_nulls_last())
-    seen = both.withColumn("routed", F.coalesce(F.last("pivot", ignorenulls=True).over(w), "before"))
-    return seen.where("pivot IS NULL AND routed IS NOT NULL").drop("p", "before", "pivot").withColumnRenamed("routed", "pivot")
+    bounds = key_bounds(df)
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    starts = ranges.select(F.col("lo").alias("key"), "pivot").withColumn("range", at)
+    tops = starts.groupBy("range").agg(F.max("pivot").alias("top"))
+    every = df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range")).join(tops, "range", "left")
+    before = every.select("range", F.max("top").over(Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row for each range
+    both = df.select("key").distinct().withColumns({"pivot": F.lit(None).cast("int"), "range": at}).unionByName(starts)
+    last = F.last("pivot", ignorenulls=True).over(Window.partitionBy("range").orderBy("key", F.col("pivot").asc_nulls_last()))
+    placed = both.withColumn("last", last).where("pivot IS NULL").join(F.broadcast(before), "range").select("key", F.coalesce("last", "before").alias("pivot")).where("pivot IS NOT NULL")
+    return df.join(placed, "key")
 
 
 def only_pivots(df: DataFrame, active: int) -> DataFrame:

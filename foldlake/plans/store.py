@@ -4,7 +4,8 @@ Layout below one folder: ``snapshot/<version>`` holds items sorted by ranges of
 edits of one batch (deletes and open adds kept), ``manifest/<n>.json`` what makes up state n. A commit writes its data
 first, then the next manifest under a temporary name, then renames it; readers trust the newest manifest alone, so a
 writer that dies leaves only unlisted files. Batches at or below the manifest's upper bound are ignored when they come
-again. All file work goes through Spark or Hadoop's file systems, so the folder can be in any store Spark reads.
+again. A delete is gone once a checkpoint has dropped it, so an add that comes later finds nothing below and stays an open
+add, of the value it would have as a write. All file work goes through Spark or Hadoop's file systems, so the folder can be in any store Spark reads.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ class Store:
 
     def refresh(self) -> None:
         fs = self._fs()
+        if not fs.exists(self._path("manifest")):
+            raise FileNotFoundError(f"{self.path} holds no store")
         names = sorted(s.getPath().getName() for s in fs.listStatus(self._path("manifest")) if s.getPath().getName().endswith(".json"))
         if not names:
             raise FileNotFoundError(f"{self.path} holds no store")

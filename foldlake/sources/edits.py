@@ -45,17 +45,17 @@ def parse_workload(lines: DataFrame, line: str = "value", at: str | None = None)
     P key value (put), G key (get), T key expected (get and check), S min_key n (scan), V min_key n r (key value)*r (scan
     and check), L label. Columns that an op has not are null; ``want`` holds V's pairs as an array.
     """
-    w = F.split(F.trim(F.col(line)), r"\s+")
-    op = w[0]
+    w, op = F.col("__words"), F.col("__words")[0]
+    words = lines.select(*([F.col(at).alias("at")] if at else []), F.split(F.trim(F.col(line)), r"\s+").alias("__words"))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(w[3].cast("int"), F.lit(1)) - 1), lambda i: F.struct(F.get(w, F.lit(4) + i * 2).alias("key"), F.get(w, F.lit(5) + i * 2).alias("value")))
-    return lines.select(
-        *([F.col(at).alias("at")] if at else []),
+    return words.where(op.isin("P", "G", "T", "S", "V", "L")).select(
+        *(["at"] if at else []),
         op.alias("op"),
         F.when(op != "L", F.get(w, F.lit(1))).alias("key"),
         F.when(op.isin("P", "T"), F.get(w, F.lit(2))).when(op == "L", F.get(w, F.lit(1))).alias("value"),
         F.when(op.isin("S", "V"), F.get(w, F.lit(2)).cast("int")).alias("n"),
         F.when((op == "V") & (F.get(w, F.lit(3)) != "0"), pairs).alias("want"),
-    ).where("op IN ('P', 'G', 'T', 'S', 'V', 'L')")
+    )
 
 
 def byte_windows(blobs: DataFrame, text: str, key_size: int = 24, value_size: int = 100, step: int = 1) -> DataFrame:
