@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 7
 M = BANDS * ROWS
 ESTIMATE = 0.7
 BLOCK = 512
-_MEMO = 400_000
+_MEMO = 100_000
 
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)

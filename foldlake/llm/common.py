@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python kernels take at most this many rows, and about this many characters, at once.
-ROWS, CHARS = 512, 4_000_000
+ROWS, CHARS = 512, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
