@@ -1,24 +1,30 @@
 """Substring dedup: sliding sentence spans.
 
-A text's sentences end at . ! ? (or their wide forms) before white space, and at line ends. From each sentence starts one
-span: the shortest run of SENTENCES or more consecutive sentences with MIN_WORDS or more words (none if the text ends
-before). Spans are hashed over their words, 128 bits, and joined over all texts. The first occurrence of a span is the
-one in the smallest doc_id, then the smallest text hash, then the earliest; all sentences that another occurrence covers
-are removed, with the white space that follows them.
+A text's sentences end at . ! ? before white space, at their wide forms (with or without white space) and at line ends.
+A sentence of more than LONG words counts as several: it is cut behind pairs of words that a hash picks, so the same
+passage is cut alike wherever it stands, and after LONG words at the latest. A run is SENTENCES or more consecutive
+sentences with MIN_WORDS or more words. Spans are the shortest run that starts at each sentence and the shortest one that
+ends at each (the same one often): together they cover every run that repeats, up to its last sentence. A text of a
+single sentence of MIN_WORDS or more words is a span as well. Spans are hashed over their words and joined by 96 bits
+over all texts. The first occurrence of a span is the one in the smallest doc_id, then the smallest text hash, then the
+earliest; all sentences that another occurrence covers are removed, with the white space that follows them.
 
 Only spans that occur twice or more are joined back, against a table of one row for each; a span with very many
 occurrences is counted before the shuffle and its join is split by size, so no task gets a whole group.
 
 Defined cases: a null doc_id counts as the smallest, a null text as ''. Rows that repeat a doc_id and text are one
-document and get the same result. Texts of fewer sentences or words than a span needs stay as they are. An empty table
-gives no rows.
+document and get the same result. Texts of fewer words than a span needs stay as they are, and so does a repeated
+sentence of up to LONG words between others that do not repeat: it is no run. Two Han or kana characters count as a word.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,30 +33,87 @@ from pyspark.sql import functions as F
 from .common import cut, slices, table
 
 SENTENCES, MIN_WORDS = 2, 16
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?…。！？]+[\"'”’)\]]*(?=\s)|(?=\n)|\Z)\s*", re.S)
+#: Sentences of more words are cut; about one pair of words in PICK is a place to cut.
+LONG, PICK = 32, 16
+CLOSERS = "[\"'”’)\\]」』）]*"
+STOPS = ".!?…。！？"
+END = re.compile(rf"[\n{STOPS}](?:(?<=\n)|[{STOPS}]*{CLOSERS}(?=\s)|(?<=[。！？])[{STOPS}]*{CLOSERS}|[.!?…]*[。！？][{STOPS}]*{CLOSERS})\s*")
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WORD = re.compile(f"(?:{WIDE.pattern}{{1,2}}|[^\\s{WIDE.pattern[1:-1]}]+)\\s*")
 LEAST = -(2**63)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each; they cover the text but for white space in front."""
-    return [m.span() for m in SENTENCE.finditer(text)]
+def _parts(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
+    """(start, end) of each sentence, long ones in pieces; their words with one space between; their numbers of words."""
+    wide = not text.isascii() and WIDE.search(text) is not None
+    cuts, joined, sizes = [], [], []
+
+    def add(a: int, b: int, words: list[str], n: int) -> None:
+        cuts.append((a, b))
+        joined.append(" ".join(words))
+        sizes.append(n)
+
+    a, size = len(text) - len(text.lstrip()), len(text)
+    for b in [*(m.end() for m in END.finditer(text, a)), size]:
+        if a == b:
+            continue
+        words = text[a:b].split()
+        n = len(words)
+        if wide and (k := len(WIDE.findall(text, a, b))):
+            n = (k + 1) // 2 + len(WIDE.sub(" ", text[a:b]).split())
+        if n <= LONG:
+            add(a, b, words, n)
+        else:
+            last, n = "", 0
+            for m in WORD.finditer(text, a, b):
+                now, n = m[0].rstrip(), n + 1
+                if m.end() < b and (n == LONG or zlib.crc32(f"{last} {now}".encode("utf-8", "surrogatepass")) % PICK == 0):
+                    add(a, m.end(), text[a : m.end()].split(), n)
+                    a, n = m.end(), 0
+                last = now
+            add(a, b, text[a:b].split(), n)
+        a = b
+    return cuts, joined, sizes
 
 
-def spans(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, 16-byte hash) of each span."""
-    parts = [text[a:b].split() for a, b in cuts]
-    sizes = [len(p) for p in parts]
-    joined = [" ".join(p) for p in parts]
-    out, j, words = [], 0, 0
-    for i in range(len(cuts)):
-        while j < len(cuts) and (words < MIN_WORDS or j - i < SENTENCES):
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each, long ones in pieces; they cover the text but for white space in front."""
+    return _parts(text)[0]
+
+
+def _runs(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of each span, for the sentences' numbers of words."""
+    found, many = set(), len(sizes)
+    if many == 1 and sizes[0] >= MIN_WORDS:
+        found.add((0, 0))
+    j = words = 0
+    for i in range(many):
+        while j < many and (words < MIN_WORDS or j - i < SENTENCES):
             words += sizes[j]
             j += 1
         if words < MIN_WORDS or j - i < SENTENCES:
             break
-        out.append((i, j - 1, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))))
+        found.add((i, j - 1))
         words -= sizes[i]
-    return out
+    i = words = 0
+    for j in range(many):
+        words += sizes[j]
+        while words - sizes[i] >= MIN_WORDS and j - i >= SENTENCES:
+            words -= sizes[i]
+            i += 1
+        if words >= MIN_WORDS and j - i + 1 >= SENTENCES:
+            found.add((i, j))
+    return sorted(found)
+
+
+def _hashed(joined: list[str], sizes: list[int]) -> list[tuple[int, int, bytes]]:
+    return [(i, j, xxhash.xxh3_128_digest(" ".join(joined[i : j + 1]).encode("utf-8", "surrogatepass"))) for i, j in _runs(sizes)]
+
+
+def spans(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
+    """(first sentence, last sentence, 16-byte hash) of each span."""
+    assert (parts := _parts(text))[0] == cuts
+    return _hashed(*parts[1:])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -64,18 +127,18 @@ def _occurrences(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, texts in slices(batches, 2):
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, own, text in zip(ids, hashes, texts):
-                found = spans(text, sentences(text))
-                cols[0] += [int.from_bytes(h[:8], "little", signed=True) for *_, h in found]
-                cols[1] += [int.from_bytes(h[8:], "little", signed=True) for *_, h in found]
-                cols[2] += [doc] * len(found)
-                cols[3] += [own] * len(found)
-                cols[4] += [i for i, *_ in found]
-                cols[5] += [j for _, j, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2)], ["h1", "h2", "id", "hash", "start", "stop"])
-
-    return df.mapInArrow(run, "h1 bigint, h2 bigint, id bigint, hash bigint, start int, stop int")
+            digests, places, counts = [], [], []
+            for text in texts:
+                found = _hashed(*_parts(text)[1:])
+                digests += [h for *_, h in found]
+                places += [(i, j) for i, j, _ in found]
+                counts.append(len(found))
+            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            at = np.array(places, np.int32).reshape(-1, 2)
+            cols = [h[:, 0], h[:, 1].astype(np.int32), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(hashes, np.int64), counts), at[:, 0], at[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["h1", "h2", "id", "hash", "start", "stop"])
+
+    return df.mapInArrow(run, "h1 bigint, h2 int, id bigint, hash bigint, start int, stop int")
 
 
 def covered(docs: DataFrame) -> DataFrame:

@@ -191,6 +191,39 @@ def test_spans_against_brute_force(spark):
         assert got[d].text == "".join(t[a:b] for k, (a, b) in enumerate(cuts) if k not in gone)
 
 
+def sentence(seed, n):
+    """n words, and no stop but at the end."""
+    return " ".join(f"w{random.Random(seed).randrange(10**6)}x{k}" for k in range(n - 1)) + f" end{seed}."
+
+
+def test_spans_cover_repeated_runs_to_their_ends(spark):
+    run = [sentence(1, 20), sentence(2, 3), sentence(3, 3)]  # the last two start no span of their own
+    plain = " ".join(f"v{k}" for k in range(2320))  # no stop at all
+    wide = "".join("".join(chr(0x4E00 + random.Random(k).randrange(5000)) for _ in range(12)) + "。" for k in range(9))
+    passage = sentence(4, 55)
+    inside = " ".join(f"u{k}" for k in range(200))
+    texts = [" ".join(run), plain, wide, sentence(5, 20), passage]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts)]
+    rows += [(200, f"{sentence(6, 9)} {' '.join(run)} {sentence(7, 9)}"), (201, f"{sentence(8, 9)} {passage} {sentence(9, 9)}")]
+    rows += [(k, " ".join(f"a{k}b{i}" for i in range(100)) + f" {inside} " + " ".join(f"c{k}d{i}" for i in range(100))) for k in (300, 301)]
+    rows += [(400, " \n " + sentence(10, 9) + " " + sentence(11, 9))]
+    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[k] == t and got[100 + k] == "" for k, t in enumerate(texts))
+    assert got[200] == f"{sentence(6, 9)} {sentence(7, 9)}" and got[201] == f"{sentence(8, 9)} {sentence(9, 9)}"
+    left = set(got[301].split())
+    assert len(left & set(inside.split())) < 80 and all(w in left for w in ("a301b0", "c301d99")) and got[300] == rows[-3][1]
+    assert got[400] == rows[-1][1]
+
+
+def test_exact_copies_go_whole(spark):
+    texts = dict(table("documents", "doc_id, text"))
+    first: dict = {}
+    for d, t in texts.items():
+        first.setdefault(t, d)
+    copies = {d for d, t in texts.items() if first[t] < d and len(t.split()) >= sentence_spans.MIN_WORDS}
+    assert copies and all(r.text.strip() == "" for r in QUERIES["op4_sentence_spans"](spark, SF).collect() if r.doc_id in copies)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=".!? \nab\"", max_size=200))
 def test_sentences_cover_the_text(text):
