@@ -3,7 +3,7 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with
 the columns of ``documents``. What a stage decides shows in its rows: rejected documents and all but one of near copies
 are gone, secrets are masked in the texts, rows lie in the order of the mixing schedule, and the last stage gives the
-packed pieces.
+packed pieces, whose sequences keep to that order as the files have it.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents in sequences, in the order in which ``docs`` were written."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("classify", classify), ("near_dedup", near_dedup), ("secrets", secrets), ("mixed", mixed), ("packed", packed)]

@@ -6,6 +6,10 @@ and puts each into the first sequence with room. A tournament tree over the sequ
 in O(log n). Only a piece's place and size are shuffled, never text or ids. The number of groups follows the number of
 documents, so a group's memory stays the same at every size.
 
+Documents that were written in an order can be packed in it: groups are then ranges of RANGE documents that follow each
+other, and a group's sequences are numbered by the mean place of what they hold, so by sequence_id they keep to the order
+to within a range.
+
 Defined cases: a null or empty text is one piece of the end id alone. Equal sizes go by doc_id (nulls first), then by
 checksum; rows that repeat a doc_id are packed each on their own. An empty table gives no rows.
 """
@@ -19,14 +23,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table
 
-LENGTH, END, GROUP = 2048, 1, 8192
+LENGTH, END, GROUP, RANGE = 2048, 1, 8192, 1024
 SPECIAL = "<|endoftext|>"
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal int"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal int, place bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -85,10 +89,10 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(df: DataFrame, groups: int, length: int = LENGTH, end: int = END, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """A row for each piece, with the group that it is dealt to.
+    """A row for each piece, with the group that it is dealt to and the document's ``place``, null if ``df`` has none.
 
-    The deal hashes doc_id with a row counter of the task, so that rows which repeat one doc_id spread as well; a task
-    run again counts the same rows again.
+    With places, a range of ``groups`` places is a group. Else the deal hashes doc_id with a row counter of the task, so
+    that rows which repeat one doc_id spread as well; a task run again counts the same rows again.
     """
     import public_tokenizers as P
 
@@ -96,19 +100,20 @@ def pieces(df: DataFrame, groups: int, length: int = LENGTH, end: int = END, jso
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, count = encoder(*paths), 0
-        for ids, texts in slices(batches, 1):
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(ids, texts):
+        for ids, texts, places in slices(batches, 1):
+            out: list[list] = [[] for _ in range(7)]
+            for doc_id, text, place in zip(ids, texts, places):
                 tokens = np.append(encode(text), np.uint32(end)).astype("<u4")
-                deal = zlib.crc32(f"{doc_id}:{count}".encode()) % groups
+                deal = zlib.crc32(f"{doc_id}:{count}".encode()) % groups if place is None else place // groups
                 count += 1
                 for start in range(0, len(tokens), length):
                     part = tokens[start : start + length]
-                    for col, x in zip(out, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(tokens), deal)):
+                    for col, x in zip(out, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(tokens), deal, place)):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5 + [pa.int32()])], [x.split(" ")[0] for x in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5 + [pa.int32(), pa.int64()])], [x.split(" ")[0] for x in PIECES.split(", ")])
 
-    return df.select("doc_id", F.col("text").cast("string")).mapInArrow(run, PIECES)
+    place = F.col("__place") if "__place" in df.columns else F.lit(None).cast("bigint")
+    return df.select("doc_id", F.col("text").cast("string"), place).mapInArrow(run, PIECES)
 
 
 def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -123,6 +128,13 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         seq, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         seq[tail], offset[tail] = first_fit_decreasing(size[tail], length)
         seq[full] = (seq[tail].max() + 1 if len(tail) else 0) + np.arange(len(full))
+        if not t.column("place").null_count:
+            place, start = t.column("place").to_numpy(), t.column("start").to_numpy()
+            seq[full[np.lexsort((start[full], place[full]))]] = seq[full]
+            mean = np.bincount(seq, place * size) / np.bincount(seq, size)
+            rank = np.empty(len(mean), np.int64)
+            rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+            seq = rank[seq]
         seq += key[0].as_py() << 32
         return t.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
 
@@ -134,5 +146,14 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     return pack(pieces(docs, groups, length), length)
 
 
+def pack_in_order(docs: DataFrame, length: int = LENGTH, span: int = RANGE) -> DataFrame:
+    """Packs ``docs``, read from files, in the order in which they were written: by file name, then by row."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__file", (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__file")) - F.col("__n")).alias("__before"))  # a row for each file
+    placed = rows.join(F.broadcast(before), "__file").withColumn("__place", F.col("__before") + F.col("__row"))
+    return pack(pieces(placed, span, length), length)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))

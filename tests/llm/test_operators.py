@@ -492,3 +492,22 @@ def test_pipeline_against_its_parts(spark):
     want = {d: len(encode(secret_scan.masked(texts[d], secret_scan.scan([texts[d]], net)[0]))) + 1 for d in kept}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.doc_tokens for r in got} == want
+
+
+def test_packed_sequences_follow_the_mixing_weights(spark, tmp_path):
+    """The mixed stage's order, through files, in the packed sequences: source b weighs more than its rows, and runs out."""
+    import corpus_pipeline
+
+    rows = [(i, prose(i, 20), "en", "b" if i % 11 == 0 else "a", 0) for i in range(3300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    share = {r.src: r.a for r in mixing.shares(docs).collect()}
+    corpus_pipeline.mixed(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.sequence_id >> 32, []).append(rows[r.doc_id][3] == "b")
+    sizes = [len(parts[k]) for k in sorted(parts)]
+    assert len(sizes) == 4 and min(sizes[:3]) == packing.RANGE
+    assert abs(np.mean(parts[0]) - share["b"] / sum(share.values())) < 0.02  # 0.09 by rows
+    assert not any(parts[2]) and not any(parts[3])
