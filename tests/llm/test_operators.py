@@ -448,6 +448,25 @@ def test_bands():
     assert not rules.verdict(half, size)[3]
 
 
+def test_bands_tell_noise_from_text():
+    import base64
+    import string
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+    size = lambda b: len(press.compress(b))
+    r, signs = random.Random(1), bytes(range(33, 127)).decode()
+    b64 = lambda n: base64.b64encode(r.randbytes(n))[:n]
+    alnum = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n)).encode()
+    words = lambda n: " ".join("".join(r.choices(signs, k=r.randint(4, 12))) for _ in range(n // 4)).encode()[:n]
+    for n in (200, 300, 500, 600, 1000, 1500, 2048, 3000, 4096, 8000, 16383, 40_000):
+        assert not any(rules.verdict(noise(n), size)[3] for noise in (b64, alnum, words)), n
+    clean = max((t for _, t in table("documents", "doc_id, text")), key=len).encode()
+    assert len(clean) > 8192
+    assert rules.verdict(clean[:4096], size)[3] and not rules.verdict(clean[:4096] + b64(4085), size)[3]
+
+
 # --- audit
 
 
