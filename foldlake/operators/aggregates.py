@@ -53,12 +53,12 @@ def segment_estimate(pending: DataFrame, flush_size: int, max_item: int) -> Data
 
 
 def level_counts(df: DataFrame) -> DataFrame:
-    """(tier, keys, edits, key_bytes, pivots) of each tier: pivots that a tier's keys touch, counted in a bit set."""
+    """(tier, keys, edits, key_bytes, pivots) of each tier: pivots that a tier's keys touch, each counted once."""
     return df.groupBy("tier").agg(
         F.count_distinct("key").alias("keys"),
         F.count(F.lit(1)).alias("edits"),
         F.sum(F.octet_length("key")).cast("long").alias("key_bytes"),
-        F.bit_count(F.bit_or(F.expr("shiftleft(1L, pmod(pivot, 63))"))).cast("int").alias("pivots"),
+        F.count_distinct("pivot").cast("int").alias("pivots"),
     )
 
 

@@ -60,8 +60,8 @@ def route(df: DataFrame, pivots: DataFrame, bound: int = 65536) -> DataFrame:
 
 
 def only_pivots(df: DataFrame, active: int) -> DataFrame:
-    """Rows whose pivot's bit is set in ``active``."""
-    return df.where(F.expr(f"(shiftright({active}L, pivot) & 1) = 1"))
+    """Rows whose pivot's bit is set in ``active``, which may have any number of bits."""
+    return df.where(F.col("pivot").isin([i for i in range(active.bit_length()) if active >> i & 1]))
 
 
 def unflushed(edits: DataFrame, compacted_seq: int | Column) -> DataFrame:

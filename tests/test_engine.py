@@ -197,3 +197,26 @@ def test_empty_logs(spark):
     none = spark.createDataFrame([], COLUMNS)
     assert folds.items(none).collect() == [] and read.scan(folds.items(none), "", 5).collect() == []
     assert ordered.running_total(none, F.col("i32")).collect() == []
+
+
+def test_many_pivots_are_kept_and_counted_apart(spark):
+    """At sf0.1, which has 150 pivots: against SQL, written here without a modulus."""
+    import duckdb
+
+    from foldlake import queries as own
+
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(own.oracle_sql()["q_pivot_prune"])
+    got = own.queries()["q_pivot_prune"](spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    counts = "SELECT tier, count(DISTINCT p) FROM (SELECT o_orderkey * 3 // (SELECT count(*) FROM orders) AS tier, (SELECT count(*) FROM customer WHERE c_custkey % 100 = 0 AND c_custkey <= o_custkey) AS p FROM orders) r WHERE p > 0 GROUP BY tier"
+    counted = {r.tier: r.pivots for r in own.queries()["q_segment_counts"](spark, sf).collect()}
+    assert counted == dict(con.sql(counts).fetchall()) and max(counted.values()) > 64
+
+
+def test_pivots_beyond_a_word(spark):
+    df = spark.range(200).selectExpr("cast(id as int) AS pivot")
+    keep = lambda active: [r.pivot for r in ranges.only_pivots(df, active).orderBy("pivot").collect()]
+    assert keep(0b100101) == [0, 2, 5] and keep(1 << 64 | 1 << 150) == [64, 150] and keep(0) == []
