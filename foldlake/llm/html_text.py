@@ -1,8 +1,10 @@
 """HTML extraction by composite text density.
 
 A page is read into a tree of elements. Elements that cannot be main text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are told by name, role or the words of class and id, and left out.
-Over the rest, each element has its characters C, elements T, link characters LC and link elements LT, and the density
+adverts, forms, scripts, styles, reader comments) are told by name, role or the words of class and id, and left out. Forms
+and what only words tell stay where they wrap the page: if they hold its largest article or main (one inside reader
+comments only if there is no other), or, on a page that has no article or main outside of them, more than half of its
+text, reader comments excepted. Words of compounds with has-, no-, with- and without- do not count. Over the rest, each element has its characters C, elements T, link characters LC and link elements LT, and the density
 
     C / T * ln(C / LC * T / LT) / ln(e - 1 + ln(C / (C - LC) * LC + LCb / Cb * C + e))        (b: the body)
 
@@ -53,25 +55,28 @@ ENDS = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-OUT = set("head nav header footer aside form button select input datalist svg math object embed canvas audio video dialog menu".split())
+OUT = set("head nav header footer aside button select input datalist svg math object embed canvas audio video dialog menu".split())
 OUT_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond toolbar pagination pager skip complementary contentinfo search dialog".split()
 )
 COMMENTS = set("comment comments disqus reply replies respond".split())
+#: A compound that begins with one of these says what is beside the element, not what it is.
+BESIDE = {"has", "no", "with", "without"}
 #: Never left out by the words of their class or id.
 FIRM = {"html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in OUT:
-        return True
+def _named(tag: str, attributes: str) -> set[str]:
+    """The words of class, id and role by which an element of ``tag`` may be left out."""
+    found: set[str] = set()
     if tag in FIRM or not attributes:
-        return False
+        return found
     for m in MARK.finditer(attributes):
-        words = {w.lower() for w in WORDS.findall(m[1] or m[2] or m[3] or "")}
-        if words & (COMMENTS if tag == "article" else OUT_WORDS) or (words & {"header"} and tag != "article"):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            if words and words[0] not in BESIDE:
+                found |= (COMMENTS if tag == "article" else OUT_WORDS | {"header"}).intersection(words)
+    return found
 
 
 #: A block's edge that leaves no element behind.
@@ -79,10 +84,10 @@ _EDGE = object()
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "out", "C", "T", "LC", "LT", "density", "total", "inner")
+    __slots__ = ("tag", "parent", "kids", "out", "soft", "talk", "C", "T", "LC", "LT", "density", "total", "inner")
 
-    def __init__(self, tag: str, parent: "_Node | None", out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: "_Node | None", out: bool, soft: bool = False, talk: bool = False):
+        self.tag, self.parent, self.out, self.soft, self.talk = tag, parent, out, soft, talk
         self.kids: list = []
         self.C = self.T = self.LC = self.LT = self.inner = 0
         self.density = self.total = 0.0
@@ -140,8 +145,9 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
         if tag == "body":
             close({"head"}, set())
         top = stack[-1]
-        out = top.out or _left_out(tag, m[3])
-        node = _Node(tag, top, out)
+        out = top.out or tag in OUT
+        names = set() if out else _named(tag, m[3])
+        node = _Node(tag, top, out, bool(names) or tag == "form", top.talk or bool(names & COMMENTS))
         if not out:
             top.kids.append(node)
             nodes.append(node)
@@ -151,7 +157,39 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
             stack.append(node)
             is_open[tag] = is_open.get(tag, 0) + 1
     text(html[at:])
-    return root, nodes
+    return root, _without_soft(nodes)
+
+
+def _without_soft(nodes: list[_Node]) -> list[_Node]:
+    """``nodes`` without the subtrees that are left out by words; see the module."""
+    if not any(n.soft for n in nodes):
+        return nodes
+    size: dict[int, int] = {}
+    for n in reversed(nodes):
+        size[id(n)] = size.get(id(n), 0) + sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        if n.parent:
+            size[id(n.parent)] = size.get(id(n.parent), 0) + size[id(n)]
+    whole = [n for n in nodes if n.tag in ("article", "main") and size[id(n)] and not n.soft]
+    inside: set[int] = set()  # nodes in or at a soft one
+    for n in nodes:
+        if n.soft or (n.parent and id(n.parent) in inside):
+            inside.add(id(n))
+    holds, apart = set(), any(id(n) not in inside for n in whole)
+    largest = max(whole, key=lambda n: (not n.talk, size[id(n)]), default=None)
+    while largest:
+        holds.add(id(largest))
+        largest = largest.parent
+    kept, gone, all_text = [], set(), size[id(nodes[0])]
+    for n in nodes:
+        if n.parent and id(n.parent) in gone:
+            gone.add(id(n))
+        elif n.soft and id(n) not in holds and (apart or n.talk or 2 * size[id(n)] <= all_text):
+            gone.add(id(n))
+        else:
+            kept.append(n)
+    for n in kept:
+        n.kids = [k for k in (_EDGE if isinstance(k, _Node) and id(k) in gone and k.tag in BLOCK else k for k in n.kids) if not (isinstance(k, _Node) and id(k) in gone)]
+    return kept
 
 
 def select(root: _Node, nodes: list[_Node]) -> list[_Node]:

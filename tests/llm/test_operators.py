@@ -304,6 +304,28 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = "<h1>T</h1><p>one two, three four five.</p><p>six seven eight nine ten.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='content has-sidebar'>{STORY}</div>",
+        f"<div class='no-sidebar'><article>{STORY}</article></div>",
+        f"<div id=page class='with-banner'>{STORY}</div><div class=sidebar>a b</div>",
+        f"<div class='sidebar-left'><article>{STORY}</article><div class=related>more</div></div>",
+        f"<section id=related-work>{STORY}</section><div class=share>x</div>",
+        f"<form action=x><div>{STORY}</div><input></form>",
+        f"<form><main>{STORY}</main><form>",
+        f"<article>{STORY}</article><div class=comments><article>{'talk ' * 99}</article></div><div class=related><article>a tease</article></div>",
+        f"<article>{STORY}<div class='ad'>{'buy ' * 99}</div></article>",
+        f"<div>{STORY}</div><div class=comments>{'talk ' * 99}</div>",
+    ],
+)
+def test_names_leave_no_wrapper_out(html):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == "T\none two, three four five.\nsix seven eight nine ten."
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<table><tr><td>", "<li>", "</ul>", "<!--", "-->", "<b", ">", "x y", "&amp;", "<script>", "</script>", "<body>", "</html>"]), max_size=40))
 def test_broken_markup_never_fails(parts):
