@@ -576,6 +576,12 @@ def q_byte_windows(spark, sf):
     return src.byte_windows(src.table(spark, sf, "documents").select("doc_id", "text"), "text", step=100).select("doc_id", "at", "key", "value")
 
 
+@query()
+def q_byte_windows_all(spark, sf):
+    """A window at every place of every text, as the reference has them; q_byte_windows takes every hundredth, as its SQL does."""
+    return src.byte_windows(src.table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "at", "key", "value")
+
+
 @query("SELECT o_orderpriority AS workload, CAST(o_custkey % 32 AS INT) AS threads, CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) AS kops, CAST(NULL AS DOUBLE) AS latency_us FROM (SELECT replace(o_orderpriority, ' ', '_') AS o_orderpriority, o_custkey, o_totalprice FROM orders) o")
 def q_result_log(spark, sf):
     """Result lines written from orders, and parsed."""

@@ -220,3 +220,16 @@ def test_pivots_beyond_a_word(spark):
     df = spark.range(200).selectExpr("cast(id as int) AS pivot")
     keep = lambda active: [r.pivot for r in ranges.only_pivots(df, active).orderBy("pivot").collect()]
     assert keep(0b100101) == [0, 2, 5] and keep(1 << 64 | 1 << 150) == [64, 150] and keep(0) == []
+
+
+def test_a_window_at_every_place(spark):
+    import duckdb
+
+    from foldlake import queries as own
+
+    sf = "/root/testdata/sf0.001"
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' WHERE length(text) < 3000").fetchall()
+    want = sorted((d, i, t[i : i + 24], t[i : i + 100]) for d, t in texts for i in range(len(t) - 99))
+    short = [d for d, _ in texts]
+    got = own.queries()["q_byte_windows_all"](spark, sf).where(F.col("doc_id").isin(short)).collect()
+    assert want and sorted(map(tuple, got)) == want
