@@ -7,7 +7,8 @@ the root. Two replicas are compared root against root; where roots differ, only
 opened, down to the records that are damaged. Levels shrink by FANOUT, and the depth follows FILE_RECORDS, not the corpus.
 
 Defined cases: null html or url counts as ''. Rows that repeat a whole record are one record with a count of copies. A
-record that a replica lacks hashes as missing there. Empty tables give no rows.
+record that a replica lacks (a null leaf) hashes as MISSING there, in the tree and in the comparison; one that both lack
+is no damage. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 FILE_RECORDS, FANOUT, LEVELS = 512, 8, 4
+MISSING = "missing"
 #: The audited replica of the query has its first byte changed in the pages whose MD5 of page_id begins with this.
 ROT = "5a"
 
@@ -43,10 +45,15 @@ def level_up(nodes: DataFrame, hashes: list[str], top: bool) -> DataFrame:
     return joined.select("file", F.col("up").alias("idx"), *[F.sha2(F.concat_ws("", F.transform("c", lambda x: x[h])), 256).alias(h) for h in hashes])
 
 
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two replicas' leaves (file, idx, digest) -> (file, idx, a, b), null where a replica lacks the record."""
+    return a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), ["file", "idx"], "full")
+
+
 def audit(leaves: DataFrame) -> DataFrame:
     """Leaves (file, idx, a, b, ...) -> the leaves with root_ok and ok; ok is looked at below mismatching nodes only."""
     names = leaves.columns
-    trees = [leaves.select("file", "idx", "a", "b")]
+    trees = [leaves.select("file", "idx", *[F.coalesce(c, F.lit(MISSING)).alias(c) for c in ("a", "b")])]
     for k in range(LEVELS):
         trees.append(level_up(trees[-1], ["a", "b"], k == LEVELS - 1))
     open_ = trees[-1].where("a <> b").select("file", "idx")  # roots, a row for each file

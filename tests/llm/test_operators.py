@@ -504,6 +504,16 @@ def test_audit_finds_what_is_rotten(spark):
     assert {r.file for r in rows if not r.root_ok} == {b % 5 for b in bad}
 
 
+def test_audit_finds_missing_records(spark):
+    leaf = lambda i: (i % 2, i // 2, f"{i:064x}")
+    schema = "file bigint, idx bigint, digest string"
+    a = spark.createDataFrame([leaf(i) for i in range(200) if i != 31], schema)
+    b = spark.createDataFrame([leaf(i) for i in range(200) if i not in (8, 90)], schema)
+    rows = warc.audit(warc.side_by_side(a, b)).collect()
+    assert len(rows) == 200 and {r.file + 2 * r.idx for r in rows if not r.ok} == {8, 31, 90}
+    assert not any(r.root_ok for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
