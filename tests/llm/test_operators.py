@@ -148,6 +148,24 @@ def test_tiff_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_tiff_pages_keeps_the_good_pages_of_a_broken_file(spark):
+    blob = bytearray(tiff.write_tiff([np.zeros((2, 2, 1), np.uint8), np.ones((2, 2, 1), np.uint8)], tiff.DEFLATE))
+    at = blob.rindex(tiff.encode(bytes([1] * 4), tiff.DEFLATE))
+    blob[at : at + 4] = b"\xff" * 4
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, blob)], "id int, blob binary"), "id", "blob").collect()
+    assert [(r.page, r.pixels) for r in rows if not r.error] == [(0, bytearray(4))] and sum(r.error is not None for r in rows) == 1
+
+
+def test_store_uses_each_codec_at_every_length():
+    seen = Counter()
+    for n in [*range(1, 21), *range(300, 320)]:
+        data = prose(n, n * 40).encode()[: n * tiff.ROW]
+        pages = list(tiff.read_pages(tiff.store(data.ljust(n * tiff.ROW))))
+        assert b"".join(p.pixels for p in pages) == data.ljust(n * tiff.ROW)
+        seen[n > 20, pages[0].compression, pages[0].predictor, pages[0].tiled] += 1
+    assert len(seen) == 10 and set(seen.values()) == {4}
+
+
 # --- mixing
 
 
