@@ -1,21 +1,27 @@
 """HTML extraction by composite text density.
 
-A page is read into a tree of elements. Elements that cannot be main text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are told by name, role or the words of class and id, and left out. Forms
-and what only words tell stay where they wrap the page: if they hold its largest article or main (one inside reader
-comments only if there is no other), or, on a page that has no article or main outside of them, more than half of its
-text, reader comments excepted. Words of compounds with has-, no-, with- and without- do not count. Over the rest, each element has its characters C, elements T, link characters LC and link elements LT, and the density
+A page is read into a tree of elements; tags that only format text (b, i, span, br and their like) make no element of
+their own. Elements that cannot be main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments)
+are told by name, role or the words of class and id and are left out of the text, but count in the densities around them;
+scripts and styles count nowhere. Forms and what only words tell stay where they wrap the page: if they hold its largest
+article or main (one inside reader comments only if there is no other), or, on a page that has no article or main outside
+of them, more than half of its text, reader comments excepted. A compound name counts only if all its words are of that
+kind or of the page's furniture (box, list, wrapper), so share-price, ad-free and no-comments leave nothing out. Each
+element has its characters C, elements T, link characters LC and link elements LT, and the density
 
     C / T * ln(C / LC * T / LT) / ln(e - 1 + ln(C / (C - LC) * LC + LCb / Cb * C + e))        (b: the body)
 
 with every divisor at least 1; e - 1 keeps the last logarithm at 1 or more for pages without links. The element whose
-children's densities (a bare text's is its length) sum highest is selected; with equal sums, the outer one. The lowest
-density on the path from it to the body is the threshold: siblings along that path that reach it belong to the text as
-well. An ``article`` or ``main`` around the selected element counts whole.
+children's densities (a bare text's is its length) sum highest is the core; with equal sums, the outer one. From the core
+the path to the body is climbed: an element on it takes the place of the one inside unless one of the elements that it
+adds, left-out ones aside, has more than half of its characters in links. Where the climb ends, the lowest density on the path is
+the threshold, and elements beside the path that reach it belong to the text as well. If the core is the body itself,
+those of its children that are links for the most part and lie below the body's density are left out.
 
 Text: character references decoded, white space inside a block made one space, blocks joined by newlines in page order.
-Defined cases: a null or empty page, or one without text, gives an empty text. Broken markup never fails: unclosed
-elements end with their parents, stray end tags are passed over. Rows are read one by one.
+Defined cases: a null or empty page, or one without text, gives an empty text; an empty table gives no rows; repeated
+rows and pages get equal texts; other columns are not read. Broken markup never fails: unclosed elements end with their
+parents, stray end tags are passed over. Rows are read one by one, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -42,6 +48,10 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead title tr ul xmp".split()
 )
 ENDS_P = BLOCK - set("body html caption tbody td tfoot th thead tr option optgroup legend".split())
+#: Tags that only format the text of the element around them.
+FORMAT = set(
+    "abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
 #: An element of the key's name ends an open one of these, unless one of the second kind stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -60,8 +70,10 @@ OUT_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond toolbar pagination pager skip complementary contentinfo search dialog".split()
 )
 COMMENTS = set("comment comments disqus reply replies respond".split())
-#: A compound that begins with one of these says what is beside the element, not what it is.
-BESIDE = {"has", "no", "with", "without"}
+#: Words that may stand beside those in a compound name; with any other word the compound names something else.
+FURNITURE = set(
+    "area aside bar block bottom box button buttons col column container content cta desktop element footer form global group head header icons inner item items layer left link links list main mobile outer page panel post posts primary region right row secondary section site sticky slot submit thread title top unit user widget widgets wrap wrapper".split()
+)
 #: Never left out by the words of their class or id.
 FIRM = {"html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -73,8 +85,8 @@ def _named(tag: str, attributes: str) -> set[str]:
         return found
     for m in MARK.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            words = [w.lower() for w in WORDS.findall(name)]
-            if words and words[0] not in BESIDE:
+            words = {w.lower() for w in WORDS.findall(name)}
+            if words <= OUT_WORDS | FURNITURE:
                 found |= (COMMENTS if tag == "article" else OUT_WORDS | {"header"}).intersection(words)
     return found
 
@@ -84,14 +96,18 @@ _EDGE = object()
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "out", "soft", "talk", "C", "T", "LC", "LT", "density", "total", "inner")
+    __slots__ = ("tag", "parent", "kids", "out", "soft", "talk", "C", "T", "LC", "LT", "kept", "kept_links", "density", "total")
 
     def __init__(self, tag: str, parent: "_Node | None", out: bool, soft: bool = False, talk: bool = False):
         self.tag, self.parent, self.out, self.soft, self.talk = tag, parent, out, soft, talk
         self.kids: list = []
-        self.C = self.T = self.LC = self.LT = self.inner = 0
+        self.C = self.T = self.LC = self.LT = self.kept = self.kept_links = 0
         self.density = self.total = 0.0
 
+    def own(self) -> int:
+        """Characters of its bare texts."""
+        return sum(len(" ".join(k.split())) for k in self.kids if isinstance(k, str))
+
 
 def parse(html: str) -> tuple[_Node, list[_Node]]:
     """The root, and all nodes that count, parents first."""
@@ -100,9 +116,8 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
     is_open: dict[str, int] = {}
 
     def text(part: str) -> None:
-        top = stack[-1]
-        if part and not top.out:
-            top.kids.append(unescape(part) if "&" in part else part)
+        if part:
+            stack[-1].kids.append(unescape(part) if "&" in part else part)
 
     def close(names: set[str], stop: set[str]) -> None:
         if not any(is_open.get(n) for n in names):
@@ -129,7 +144,7 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
                 close({tag}, set())
             else:
                 close({tag}, BLOCK)
-            if tag in BLOCK and not stack[-1].out:
+            if tag in BLOCK:
                 stack[-1].kids.append(_EDGE)
             continue
         if tag in RAW:
@@ -147,29 +162,31 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
         top = stack[-1]
         out = top.out or tag in OUT
         names = set() if out else _named(tag, m[3])
+        if tag in FORMAT and not names:
+            if tag == "br":
+                top.kids.append(" ")
+            continue
         node = _Node(tag, top, out, bool(names) or tag == "form", top.talk or bool(names & COMMENTS))
-        if not out:
-            top.kids.append(node)
-            nodes.append(node)
-        elif not top.out and tag in BLOCK:
-            top.kids.append(_EDGE)
+        top.kids.append(node)
+        nodes.append(node)
         if tag not in VOID:
             stack.append(node)
             is_open[tag] = is_open.get(tag, 0) + 1
     text(html[at:])
-    return root, _without_soft(nodes)
+    _leave_out_soft(nodes)
+    return root, nodes
 
 
-def _without_soft(nodes: list[_Node]) -> list[_Node]:
-    """``nodes`` without the subtrees that are left out by words; see the module."""
+def _leave_out_soft(nodes: list[_Node]) -> None:
+    """Marks the subtrees that are left out by words; see the module."""
     if not any(n.soft for n in nodes):
-        return nodes
+        return
     size: dict[int, int] = {}
     for n in reversed(nodes):
-        size[id(n)] = size.get(id(n), 0) + sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        size[id(n)] = size.get(id(n), 0) + (0 if n.out else n.own())
         if n.parent:
             size[id(n.parent)] = size.get(id(n.parent), 0) + size[id(n)]
-    whole = [n for n in nodes if n.tag in ("article", "main") and size[id(n)] and not n.soft]
+    whole = [n for n in nodes if n.tag in ("article", "main") and size[id(n)] and not n.soft and not n.out]
     inside: set[int] = set()  # nodes in or at a soft one
     for n in nodes:
         if n.soft or (n.parent and id(n.parent) in inside):
@@ -179,50 +196,70 @@ def _without_soft(nodes: list[_Node]) -> list[_Node]:
     while largest:
         holds.add(id(largest))
         largest = largest.parent
-    kept, gone, all_text = [], set(), size[id(nodes[0])]
+    all_text = size[id(nodes[0])]
     for n in nodes:
-        if n.parent and id(n.parent) in gone:
-            gone.add(id(n))
+        if n.parent and n.parent.out:
+            n.out = True
         elif n.soft and id(n) not in holds and (apart or n.talk or 2 * size[id(n)] <= all_text):
-            gone.add(id(n))
-        else:
-            kept.append(n)
-    for n in kept:
-        n.kids = [k for k in (_EDGE if isinstance(k, _Node) and id(k) in gone and k.tag in BLOCK else k for k in n.kids) if not (isinstance(k, _Node) and id(k) in gone)]
-    return kept
+            n.out = True
 
 
-def select(root: _Node, nodes: list[_Node]) -> list[_Node]:
-    """The elements whose whole text is the main text, in page order."""
+def density(C: int, T: int, LC: int, LT: int, share: float) -> float:
+    """The composite density of these counts; ``share`` is LCb / Cb."""
+    if not C:
+        return 0.0
+    base = log(e - 1 + log(C / max(1, C - LC) * LC + share * C + e))
+    return C / max(1, T) * log(max(1.0, C / max(1, LC) * max(1, T) / max(1, LT))) / base
+
+
+def measure(root: _Node, nodes: list[_Node]) -> _Node:
+    """Fills in every node's counts, density and sum; returns the body. ``kept`` and ``kept_links`` leave out what is out."""
     for n in reversed(nodes):  # children before parents
-        own = sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        own = n.own()
         n.C += own
+        n.kept += 0 if n.out else own
         if n.tag == "a":
-            n.LC, n.LT = n.C, n.LT + 1
+            n.LC, n.LT, n.kept_links = n.C, n.LT + 1, n.kept
         if p := n.parent:
             p.C, p.T, p.LC, p.LT = p.C + n.C, p.T + n.T + 1, p.LC + n.LC, p.LT + n.LT
+            p.kept, p.kept_links = p.kept + n.kept, p.kept_links + n.kept_links
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.LC / max(1, body.C)
     for n in nodes:
-        if n.C:
-            base = log(e - 1 + log(n.C / max(1, n.C - n.LC) * n.LC + share * n.C + e))
-            n.density = n.C / max(1, n.T) * log(max(1.0, n.C / max(1, n.LC) * max(1, n.T) / max(1, n.LT))) / base
-    best, top = None, 0.0
+        n.density = density(n.C, n.T, n.LC, n.LT, share)
+    for n in nodes:
+        n.total = sum(k.density for k in n.kids if isinstance(k, _Node)) + n.own()
+    return body
+
+
+def select(root: _Node, nodes: list[_Node]) -> list[_Node]:
+    """The elements whose text is the main text, in page order."""
+    body = measure(root, nodes)
+    core, top = None, 0.0
     for n in nodes:
-        n.total = sum(len(" ".join(k.split())) if isinstance(k, str) else k.density for k in n.kids if k is not _EDGE)
-        if n.C and (best is None or n.total > top):
-            best, top = n, n.total
-    if best is None:
+        if n.kept and not n.out and (core is None or n.total > top):
+            core, top = n, n.total
+    if core is None:
         return []
-    path = [best]
+    path = [core]
     while path[-1].parent and path[-1] is not body:
         path.append(path[-1].parent)
-    if whole := [n for n in path if n.tag in ("article", "main")]:
-        return [whole[-1]]
-    low = min(n.density for n in path)
-    taken = {id(best)}
-    for inner, outer in zip(path, path[1:]):
-        taken |= {id(k) for k in outer.kids if isinstance(k, _Node) and k is not inner and k.C and k.density >= low}
+    if core is body or core is root:
+        low = core.density
+        for k in core.kids:
+            if isinstance(k, _Node) and 2 * k.kept_links > k.kept and k.density < low:
+                k.out = True
+        return [core]
+    at = 0
+    while at + 1 < len(path) and path[at + 1] not in (body, root):
+        inner, outer = path[at], path[at + 1]
+        if any(isinstance(k, _Node) and k is not inner and not k.out and 2 * k.kept_links > k.kept for k in outer.kids):
+            break
+        at += 1
+    low = min(n.density for n in path[at:])
+    taken = {id(path[at])}
+    for inner, outer in zip(path[at:], path[at + 1 :]):
+        taken |= {id(k) for k in outer.kids if isinstance(k, _Node) and k is not inner and k.kept and not k.out and k.density >= low}
     return [n for n in nodes if id(n) in taken]
 
 
@@ -242,13 +279,12 @@ def blocks(node: _Node, out: list[str]) -> None:
             flush()
         elif isinstance(k, str):
             line.append(k)
-        elif k.tag in ("br", "wbr", "img"):
-            line.append(" " if k.tag == "br" else "")
         else:
             if k.tag in BLOCK:
                 flush()
                 todo.append(_EDGE)
-            todo += reversed(k.kids)
+            if not k.out:
+                todo += reversed(k.kids)
     flush()
 
 

@@ -337,6 +337,11 @@ STORY = "<h1>T</h1><p>one two, three four five.</p><p>six seven eight nine ten.<
         f"<form><main>{STORY}</main><form>",
         f"<article>{STORY}</article><div class=comments><article>{'talk ' * 99}</article></div><div class=related><article>a tease</article></div>",
         f"<article>{STORY}<div class='ad'>{'buy ' * 99}</div></article>",
+        f"<div class='post no-comments'>{STORY}</div><div class='comment-list'>nice</div>",
+        f"<div class='layout sidebar-left main-content'>{STORY}</div><div class=site-footer>x</div>",
+        f"<article>{STORY.replace('<p>six', '<p class=share-price>six')}</article>",
+        f"<article>{STORY.replace('<p>six', '<p class=adFree>six')}<p class=shareButtons>share</p></article>",
+        f"<div class='entry reply-enabled'>{STORY}</div><ul class=nav-main><li>a</ul>",
         f"<div>{STORY}</div><div class=comments>{'talk ' * 99}</div>",
     ],
 )
@@ -344,6 +349,56 @@ def test_names_leave_no_wrapper_out(html):
     assert html_text.main_text(f"<html><body>{html}</body></html>") == "T\none two, three four five.\nsix seven eight nine ten."
 
 
+def brute_density(node, body):
+    """(C, T, LC, LT) of a node by walking all below it, and its density by the module's formula."""
+
+    def count(n, linked):
+        linked = linked or n.tag == "a"
+        own = sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        got = [own, 0, own if linked else 0, int(n.tag == "a")]
+        for k in n.kids:
+            if isinstance(k, html_text._Node):
+                below = count(k, linked)
+                got = [a + b for a, b in zip(got, [below[0], below[1] + 1, below[2], below[3]])]
+        return got
+
+    c, t, lc, lt = count(node, False)
+    cb, _, lcb, _ = count(body, False)
+    if not c:
+        return 0.0
+    x = c / max(1, t) * np.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)))
+    return x / np.log(np.e - 1 + np.log(c / max(1, c - lc) * lc + lcb / max(1, cb) * c + np.e))
+
+
+def test_densities_against_brute_force():
+    pages = [h for _, h in table("pages", "page_id, html")][:20] + ["<body><div><a href=x>one</a> <a>two</a></div><p>three four</p><ul><li>five<li><a>six</a></ul></body>"]
+    for html in pages:
+        root, nodes = html_text.parse(html)
+        body = html_text.measure(root, nodes)
+        for n in nodes:
+            want = brute_density(n, body)
+            assert abs(n.density - want) <= 1e-9 * max(1, want)
+            assert abs(n.total - sum(k.density for k in n.kids if isinstance(k, html_text._Node)) - n.own()) < 1e-6
+
+
+MENU = "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>Sport</a> <a href=d>About us</a></div>"
+LONG = "<h1>T</h1><p>" + "one two, three four five. " * 8 + "</p><ul><li>first of three</li><li>second</li></ul><p>short.</p><blockquote>" + "six seven eight. " * 30 + "</blockquote>"
+
+
+@pytest.mark.parametrize("wrap", ["{m}<div>{s}</div>{m}", "<div>{m}<div>{s}</div>{m}</div>", "{m}<div><div><div>{s}</div></div></div>", "{m}{s}{m}", "<table><tr><td>{m}<td>{s}</table>", "<div><div>{m}</div><section>{s}</section></div>"])
+def test_density_finds_the_text_without_article_or_names(wrap):
+    """No article, main, class or id: the densities alone decide, and nothing of the text is lost."""
+    want = "T\n" + ("one two, three four five. " * 8).strip() + "\nfirst of three\nsecond\nshort.\n" + ("six seven eight. " * 30).strip()
+    assert html_text.main_text("<html><body>" + wrap.format(m=MENU, s=LONG) + "</body></html>") == want
+
+
+def test_article_tags_do_not_decide():
+    """The same text whether a page's article is an article or a plain div; menus and footers keep their tags."""
+    for _, html in table("pages", "page_id, html"):
+        if len(want := html_text.main_text(html)) >= 200:
+            assert html_text.main_text(html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<table><tr><td>", "<li>", "</ul>", "<!--", "-->", "<b", ">", "x y", "&amp;", "<script>", "</script>", "<body>", "</html>"]), max_size=40))
 def test_broken_markup_never_fails(parts):
