@@ -5,17 +5,19 @@ A sentence of more than LONG words counts as several: it is cut behind pairs of
 passage is cut alike wherever it stands, and after LONG words at the latest. A run is SENTENCES or more consecutive
 sentences with MIN_WORDS or more words. Spans are the shortest run that starts at each sentence and the shortest one that
 ends at each (the same one often): together they cover every run that repeats, up to its last sentence. A text of a
-single sentence of MIN_WORDS or more words is a span as well. Spans are hashed over their words and joined by 96 bits
+single sentence of MIN_WORDS or more words is a span as well. Spans are hashed over their words and compared by 95 bits
 over all texts. The first occurrence of a span is the one in the smallest doc_id, then the smallest text hash, then the
 earliest; all sentences that another occurrence covers are removed, with the white space that follows them.
 
-Only spans that occur twice or more are joined back, against a table of one row for each; a span with very many
-occurrences is counted before the shuffle and its join is split by size, so no task gets a whole group.
+Each text is read into spans once. A task sorts its spans in chunks of about CHUNK: only the first of equal spans in a
+chunk is sent to be compared with other chunks' spans; the rest cannot be first and go straight to their documents. So a
+span with very many occurrences reaches its group at most once for each chunk, and no task gets a whole group.
 
 Defined cases: a null doc_id counts as the smallest, a null text as ''. Rows that repeat a doc_id and text are one
 document and get the same result. Texts of fewer words than a span needs stay as they are, and so does a repeated
 sentence of up to LONG words between others that do not repeat: it is no run. Two Han or kana characters count as a word.
-An empty table gives no rows.
+An empty table gives no rows. Other columns are not read, so their names cannot clash. A text is read in time that grows
+with its length, and is held whole by one task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
@@ -35,12 +37,15 @@ from .common import cut, slices, table
 SENTENCES, MIN_WORDS = 2, 16
 #: Sentences of more words are cut; about one pair of words in PICK is a place to cut.
 LONG, PICK = 32, 16
-CLOSERS = "[\"'”’)\\]」』）]*"
+CLOSERS = "[\"'”’)\\]」』）]*+"
 STOPS = ".!?…。！？"
-END = re.compile(rf"[\n{STOPS}](?:(?<=\n)|[{STOPS}]*{CLOSERS}(?=\s)|(?<=[。！？])[{STOPS}]*{CLOSERS}|[.!?…]*[。！？][{STOPS}]*{CLOSERS})\s*")
+#: A line end; or a whole run of stops that holds a wide one, or is followed by white space. Looked at once a run.
+END = re.compile(rf"\n\s*|(?<![{STOPS}])(?:[.!?…]*+[。！？][{STOPS}]*+{CLOSERS}|[.!?…]++{CLOSERS}(?=\s))\s*")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 WORD = re.compile(f"(?:{WIDE.pattern}{{1,2}}|[^\\s{WIDE.pattern[1:-1]}]+)\\s*")
 LEAST = -(2**63)
+#: Spans that a task sorts at once, and the h2 of those that have an earlier equal in their chunk.
+CHUNK, LATER = 400_000, -1
 
 
 def _parts(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
@@ -122,61 +127,84 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)), "__hash": F.xxhash64(text), "__t": text})
 
 
-def _occurrences(df: DataFrame) -> DataFrame:
-    """(h1, h2, id, hash, start, stop) for each span."""
+def _sift(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """A chunk's (h1, h2, id, hash, place): the first of equal spans stays, others get the key (of their own, LATER)."""
+    order = np.lexsort(cols[::-1])
+    h1, h2, id_, hash_, place = (c[order] for c in cols)
+    n = len(h1)
+    changes = np.ones((2, n), bool)  # of key, of place
+    changes[0, 1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    changes[1, 1:] = changes[0, 1:] | (id_[1:] != id_[:-1]) | (hash_[1:] != hash_[:-1]) | (place[1:] != place[:-1])
+    later = ~changes[0]
+    with np.errstate(over="ignore"):
+        h1[later] = (id_ ^ hash_)[later] + place[later] * 0x9E3779B1  # spreads them
+    h2[later] = LATER
+    return [c[changes[1]] for c in (h1, h2, id_, hash_, place)]  # a repeated row's places are one
+
+
+def _occurrences(df: DataFrame, chunk: int) -> DataFrame:
+    """(id, hash, text) -> (h1, h2, id, hash, place) for the spans of each; place is start << 32 | stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            out = _sift([np.concatenate(c) for c in zip(*held)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["h1", "h2", "id", "hash", "place"])
+
         for ids, hashes, texts in slices(batches, 2):
             digests, places, counts = [], [], []
             for text in texts:
                 found = _hashed(*_parts(text)[1:])
                 digests += [h for *_, h in found]
-                places += [(i, j) for i, j, _ in found]
+                places += [i << 32 | j for i, j, _ in found]
                 counts.append(len(found))
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            at = np.array(places, np.int32).reshape(-1, 2)
-            cols = [h[:, 0], h[:, 1].astype(np.int32), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(hashes, np.int64), counts), at[:, 0], at[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["h1", "h2", "id", "hash", "start", "stop"])
+            held.append([h[:, 0], (h[:, 1] & 0x7FFFFFFF).astype(np.int32), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(hashes, np.int64), counts), np.array(places, np.int64)])
+            if (size := size + len(h)) >= chunk:
+                yield batch()
+                size = 0
+        if size:
+            yield batch()
 
-    return df.mapInArrow(run, "h1 bigint, h2 int, id bigint, hash bigint, start int, stop int")
+    return df.mapInArrow(run, "h1 bigint, h2 int, id bigint, hash bigint, place bigint")
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, spans, first_ids): the non-first spans of each document that has any, and where their firsts are."""
-    found = _occurrences(keyed(docs).select("__id", "__hash", "__t"))
-    place = F.struct("id", "hash", "start")
-    again = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
-    again = cut(again)  # cut, so that the join below is split by size where one span has very many places
-    later = found.join(again, ["h1", "h2"]).where(place != F.col("first"))
-    return later.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"), F.collect_set("first.id").alias("__firsts"))
+def covered(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(__id, __hash, __spans): the places of the non-first spans of each document that has any."""
+    found = _occurrences(keyed(docs).select("__id", "__hash", "__t"), chunk)
+    nth = F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "hash", "place"))
+    later = found.withColumn("nth", nth).where((F.col("nth") > 1) | (F.col("h2") == LATER))
+    places = later.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("place").alias("__spans"))
+    return cut(places)  # cut, so that the join of the rows with it is split by size where many rows are one document
 
 
-def _strip(text: str, found: list[dict] | None) -> tuple[str, int, int]:
+def _strip(text: str, found: list[int] | None) -> tuple[str, int, int]:
     """(text without the covered sentences, sentences, sentences removed)."""
     cuts = sentences(text)
     if not found:
         return text, len(cuts), 0
     gone: set[int] = set()
-    for s in found:
-        gone.update(range(s["start"], s["stop"] + 1))
+    for place in found:
+        gone.update(range(place >> 32, (place & 0xFFFFFFFF) + 1))
     lead = text[: cuts[0][0]]
     return lead + "".join(text[a:b] for k, (a, b) in enumerate(cuts) if k not in gone), len(cuts), len(gone)
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
-    """A row for each of ``docs``: doc_id, text without repeated spans, n_sentences, n_removed, first_doc_ids."""
+def dedup_spans(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row for each of ``docs``: doc_id, text without repeated spans, n_sentences, n_removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found, firsts, texts in slices(batches, 3):
+        for ids, found, texts in slices(batches, 2):
             made = [_strip(t, f) for t, f in zip(texts, found)]
-            first = [sorted(x for x in f if x != LEAST) if f else [] for f in firsts]
-            cols = [ids, [m[0] for m in made], [m[1] for m in made], [m[2] for m in made], first]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "text", "n_sentences", "n_removed", "first_doc_ids"])
+            cols = [ids, [m[0] for m in made], [m[1] for m in made], [m[2] for m in made]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.int64()])], ["doc_id", "text", "n_sentences", "n_removed"])
 
     # neither side is broadcast by hint: the spans' side grows with the corpus
-    joined = keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "__id", "__hash", "__t").join(covered(docs), ["__id", "__hash"], "left")
-    return joined.select("doc_id", "__spans", "__firsts", "__t").mapInArrow(run, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, first_doc_ids array<bigint>")
+    joined = keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "__id", "__hash", "__t").join(covered(docs, chunk), ["__id", "__hash"], "left")
+    return joined.select("doc_id", "__spans", "__t").mapInArrow(run, "doc_id bigint, text string, n_sentences bigint, n_removed bigint")
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
