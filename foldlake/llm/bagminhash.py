@@ -15,7 +15,10 @@ classes come out. Every link counts on the exact overlap of the bags; signatures
 ESTIMATE of the components).
 
 Defined cases: a null text counts as ''. Texts without words are in a class with equal texts only. A class is named by its
-smallest doc_id (null first); where one doc_id has several texts, two classes can bear one name. Rows that repeat a doc_id and text are copies like any others.
+smallest doc_id (null first); where one doc_id has several texts, two classes can bear one name. Rows that repeat a doc_id
+and text are copies like any others: one row of a class is kept, any of those that repeat its first. An empty table gives
+no rows. Other columns pass through ``keep_one`` whatever their names. A text is held whole by one task, with some 16
+bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ BANDS, ROWS = 32, 7
 M = BANDS * ROWS
 ESTIMATE = 0.7
 BLOCK = 512
+LEAST = -(2**63)
 _MEMO = 100_000
 
 U = np.uint64
@@ -120,8 +124,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """``docs`` with __node, the MD5 of the text."""
-    return docs.withColumn("__node", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    """(node, id, text): the MD5 of each text, and the doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("bigint").alias("id"), text.alias("text"))
 
 
 def _sign(df: DataFrame) -> DataFrame:
@@ -224,12 +229,14 @@ def _links(members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, node) of every row, (node, rep, class_id, first) of every distinct text).
-
-    rep is the smallest doc_id with that text; the first text of a class has its smallest doc_id (then MD5)."""
-    signed = cut(_sign(named(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "__node", F.col("text").cast("string"))))
-    distinct = signed.groupBy("node").agg(F.min(F.struct("doc_id")).alias("rep"), F.first("bands").alias("bands")).withColumn("n", F.xxhash64("node"))
-    distinct = cut(distinct)
+    """((doc_id, node, row) of every row, (node, rep, rep_row, class_id, first) of every distinct text).
+
+    rep is the smallest doc_id with that text, rep_row one row that has it; the first text of a class has its smallest
+    doc_id (then MD5). Rows and texts are numbered as they are written to the shared folder, so numbers are unique."""
+    signed = _sign(named(docs).select(F.col("id").alias("doc_id"), "node", "text"))
+    signed = cut(signed.withColumn("row", F.monotonically_increasing_id()))
+    distinct = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.first("bands").alias("bands"))
+    distinct = cut(distinct.withColumn("n", F.monotonically_increasing_id()))
     spots = distinct.select("n", F.explode("bands").alias("bucket"))
     hubs = spots.groupBy("bucket").agg(F.min("n").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hubs = cut(hubs)
@@ -239,8 +246,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = spots.select("n").distinct()
     wanted = distinct.join(nodes, "n", "left_semi").select("n", "node", F.col("rep.doc_id").alias("rep"))
     # a row of each wanted text: the copies' ids differ, so no reducer gets them all
-    texts = named(docs).select("__node", F.col("doc_id").cast("bigint").alias("__id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep"))).select("n", "text")
+    texts = named(docs).join(wanted.withColumnRenamed("node", "named"), (F.col("node") == F.col("named")) & F.col("id").eqNullSafe(F.col("rep"))).select("n", "text")
     # cut after the last exchange, so that the joins with it can be split by size
     unfolded = cut(_unfold(texts).dropDuplicates(["n"]))
     left = unfolded.select(F.col("n").alias("hub"), F.col("bag").alias("hub_bag"))
@@ -263,22 +269,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     onto = onto.select(F.col("n").alias("label"), F.col("label").alias("to"))
     labels = labels.join(onto, "label", "left").select("n", F.coalesce("to", "label").alias("label"))
 
-    joined = distinct.join(labels, "n").select("node", "rep", "label")
+    texts = distinct.select("node", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("rep_row"))
+    joined = texts.join(labels, "n").select("node", "rep", "label")
     named_by = joined.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("class"))
     near = joined.join(named_by, "label").select("node", "class")
-    own = F.struct("rep", "node")
-    whole = distinct.select("node", "rep").join(near, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce(F.col("class"), own).alias("class"))
-    whole = whole.select("node", "rep", F.col("class.rep.doc_id").alias("class_id"), (F.col("class.node") == F.col("node")).alias("first"))
-    return signed.select("doc_id", "node"), cut(whole)  # cut, so that a join of the rows with it can be split by size
+    whole = texts.join(near, "node", "left").select("node", "rep", "rep_row", F.coalesce(F.col("class"), F.struct("rep", "node")).alias("class"))
+    whole = whole.select("node", "rep", "rep_row", F.col("class.rep").alias("class_id"), (F.col("class.node") == F.col("node")).alias("first"))
+    return signed.select("doc_id", "node", "row"), cut(whole)  # cut, so that a join of the rows with it can be split by size
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, whole = classes(table(spark, sf_dir, "documents"))
-    return rows.join(whole, "node").select("doc_id", "class_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("kept"))
+    return rows.join(whole, "node").select("doc_id", "class_id", (F.col("first") & (F.col("row") == F.col("rep_row"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns as they were: that of the smallest doc_id."""
-    first = classes(docs)[1].where("first").select(F.col("node").alias("__kept"), F.col("rep").alias("__rep"))
-    kept = named(docs).join(first, (F.col("__node") == F.col("__kept")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__rep")))
-    return kept.dropDuplicates(["__node"]).select(*[docs[c] for c in docs.columns])
+    id_ = lambda c: F.coalesce(c, F.lit(LEAST))
+    first = classes(docs)[1].where("first").select("node", id_(F.col("rep")).alias("id"), F.col("rep").isNull().alias("none"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.col("doc_id").cast("bigint")
+    # the document's columns stay inside one, so that names cannot clash
+    rows = docs.select(F.unhex(F.md5(text)).alias("node"), id_(own).alias("id"), own.isNull().alias("is_none"), F.struct("*").alias("row"))
+    kept = rows.join(first, ["node", "id"]).where("none = is_none")
+    return kept.dropDuplicates(["node", "id"]).select("row.*")  # shares the join's exchange

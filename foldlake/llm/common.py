@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[list]]:
-    """The columns of each batch as lists, cut so that column ``text`` holds about CHARS characters at most.
-
-    A row is never cut, so one text over CHARS comes alone. Null texts come as "".
-    """
+def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of ROWS rows at most, whose column ``text`` holds CHARS bytes at most, or is a single row."""
     for batch in batches:
-        sizes = batch.column(text).nbytes / max(1, batch.num_rows)
-        step = max(1, min(ROWS, int(CHARS / max(1.0, sizes))))
-        for at in range(0, batch.num_rows, step):
-            cols = [c.to_pylist() for c in batch.slice(at, step).columns]
-            cols[text] = [x or "" for x in cols[text]]
-            yield cols
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > at and (i - at == ROWS or size + n > CHARS):
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[list]]:
+    """The columns of each of ``parts`` as lists. Null texts come as ""."""
+    for part in parts(batches, text):
+        cols = [c.to_pylist() for c in part.columns]
+        cols[text] = [x or "" for x in cols[text]]
+        yield cols
 
 
 def map_texts(df: DataFrame, keys: list[str], text: str, kernel: Callable[[list[list]], dict[str, list]], schema: str) -> DataFrame:
@@ -52,18 +65,29 @@ def map_texts(df: DataFrame, keys: list[str], text: str, kernel: Callable[[list[
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; our own only where the session names none (tests)."""
-    if not (place := spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        place = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="foldlake-")
+    """The folder that the driver and all executors share, as the session names it; our own only in local mode (tests)."""
+    if not (place := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="foldlake-")
+        atexit.register(shutil.rmtree, place, True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it is deleted when the session's file systems close."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return at.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut."""
+    """``df`` computed once and kept in the shared folder, with its lineage cut. Spark deletes it once nothing refers to it
+    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -76,7 +100,7 @@ class Rounds:
     """
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._place, self._kept = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", []
+        self._spark, self._place, self._kept = spark, scratch(spark, "rounds"), []
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self._place}/{len(self._kept)}"

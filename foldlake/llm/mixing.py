@@ -7,22 +7,28 @@ deadlines: the source that sorts first). As the shares fill the period, no deadl
 t each source is less than one block from w * t, while it lasts; slots of a source that has run out stay empty.
 
 The schedule repeats each period, so it is worked out once for A slots and joined to the blocks; it has as many rows as
-the resolution (or the number of sources, if that is larger), whatever the corpus. Ranks within a source come from counts
-of 4,096 buckets of the hash: no source, however large, is sorted in one task.
+the resolution (or the number of sources, if that is larger), whatever the corpus, and is broadcast up to SMALL rows, by a
+count. Its fold takes A steps over all sources in one task: it is meant for up to some thousands of sources. Ranks within
+a source come from counts of (id, salt) summed in 65,536 ranges of the hash: no source, however large, is sorted in one
+task, and rows that share an id, or have none, are spread by a hash of their other columns.
 
 Defined cases: a null source counts as the source ''; rows that repeat a doc_id are ranked in any order among
 themselves; a null doc_id hashes as ''. Sources without a target weight get the smallest share. An empty table gives no
-rows.
+rows. Texts are passed on whole and not looked into; the documents' columns stay inside one column, so that no name
+can clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import table
+from .common import cut, table
 
 BLOCK, RESOLUTION, TEMPER = 16, 1000, 0.5
+#: Rows of a schedule that is broadcast; parts that rows with one id are dealt to.
+SMALL, SALTS = 1_000_000, 64
 
 
 def shares(docs: DataFrame, weights: DataFrame | None = None, resolution: int = RESOLUTION, temper: float = TEMPER) -> DataFrame:
@@ -54,35 +60,45 @@ def schedule(parts: DataFrame) -> DataFrame:
     return slots.select(F.expr("s[i].src").alias("src"), F.expr("s[i].a").alias("a"), "period", F.col("slot").cast("long").alias("slot"), (F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1).cast("long").alias("k"))
 
 
+def ranked(docs: DataFrame) -> DataFrame:
+    """(src, rank, row): the place of each row in its source, from 0, by the MD5 of its id; row has the columns of ``docs``."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    src, order = F.coalesce(F.col("source").cast("string"), F.lit("")), F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = docs.select(src.alias("src"), order.alias("order"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int").alias("salt"), F.struct("*").alias("row"))
+    keys = rows.groupBy("src", "order", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.substring("order", 1, 2))
+    sizes = keys.groupBy("src", "bucket").agg(F.sum("n").alias("size"))
+    ahead = sizes.select("src", "bucket", (F.sum("size").over(Window.partitionBy("src").orderBy("bucket")) - F.col("size")).alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("src", "bucket").orderBy("order", "salt")) - F.col("n")
+    places = keys.withColumn("inside", inside).join(ahead, ["src", "bucket"]).select("src", "order", "salt", (F.col("ahead") + F.col("inside")).alias("place"))
+    nth = F.row_number().over(Window.partitionBy("src", "order", "salt").orderBy("place")) - 1
+    return rows.join(places, ["src", "order", "salt"]).select("src", (F.col("place") + nth).alias("rank"), "row")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, resolution: int = RESOLUTION) -> DataFrame:
-    """``docs`` with __src, __block, __slot and __pos: the order is __slot, then __pos."""
-    keyed = docs.withColumns({"__src": F.coalesce(F.col("source").cast("string"), F.lit("")), "__order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("__bucket", F.substring("__order", 1, 3))
-    sizes = keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__src", "__bucket", (F.sum("__n").over(Window.partitionBy("__src").orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    ranked = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__src", "__bucket").orderBy("__order", "doc_id")))
-    plan = schedule(shares(docs, weights, resolution))
-    length = plan.select(F.col("src").alias("__src"), F.col("a").alias("__a"), F.col("period").alias("__period")).distinct()
-    slots = plan.select(F.col("src").alias("__src"), F.col("k").alias("__k"), F.col("slot").alias("__in"))
-    rank = F.col("__before") + F.col("__rn") - 1
+    """(src, block, slot, pos, row) for each of ``docs``: the order is slot, then pos; row has the columns of ``docs``."""
+    plan = cut(schedule(shares(docs, weights, resolution)))
+    few = plan.count() <= SMALL
+    small = F.broadcast if few else lambda df: df
+    length = plan.select("src", "a", "period").distinct()  # a row for each source
+    slots = plan.select("src", "k", F.col("slot").alias("within"))  # a row for each slot of a period
     return (
-        ranked.join(before, ["__src", "__bucket"])
-        .withColumns({"__block": F.floor(rank / block), "__pos": rank % block})
-        .join(F.broadcast(length), "__src")  # a row for each source
-        .withColumn("__k", F.col("__block") % F.col("__a"))
-        .join(F.broadcast(slots), ["__src", "__k"])  # a row for each slot of a period
-        .withColumn("__slot", F.expr("__block div __a") * F.col("__period") + F.col("__in"))
-        .select(*[docs[c] for c in docs.columns], "__src", "__block", "__slot", "__pos")
+        ranked(docs)
+        .withColumns({"block": F.floor(F.col("rank") / block), "pos": F.col("rank") % block})
+        .join(small(length), "src")
+        .withColumn("k", F.col("block") % F.col("a"))
+        .join(small(slots), ["src", "k"])
+        .select("src", "block", (F.expr("block div a") * F.col("period") + F.col("within")).alias("slot"), "pos", "row")
     )
 
 
 def in_order(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The rows and columns of ``docs``, in the order of the schedule."""
-    return mix(docs, weights).orderBy("__slot", "__pos").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, weights).orderBy("slot", "pos").select("row.*")
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select("doc_id", F.col("__src").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__pos").cast("long").alias("pos"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return mix(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("src").alias("source"), "block", "slot", F.col("pos").cast("long").alias("pos"))
 
 
 SQL = f"""

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -9,7 +10,6 @@ from html import unescape
 import duckdb
 import numpy as np
 import pytest
-SF = "/root/testdata/sf0.001"
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -19,6 +19,7 @@ from foldlake.llm import bagminhash, html_text, mixing, packing, quality, rules,
 from .conftest import prose
 
 QUERIES = llm.queries()
+SF = "/root/testdata/sf0.001"
 
 
 def table(name, columns):
@@ -184,11 +185,26 @@ def test_mix_stays_within_one_block(spark):
             done[slots[t]] += 1
 
 
+def test_ranks_of_one_hot_id(spark):
+    """A third of the rows without an id, another id on many rows: ranks have no gaps and follow the ids' MD5."""
+    import hashlib
+
+    rows = [(None if i % 3 == 0 else 7 if i % 5 == 0 else i, "ab"[i % 7 == 0], i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, src int").repartition(5)
+    got = mixing.ranked(docs).collect()
+    for src in "ab":
+        mine = sorted((r.rank, r.row.doc_id) for r in got if r.src == src)
+        assert [k for k, _ in mine] == list(range(sum(r[1] == src for r in rows)))
+        digests = [hashlib.md5(b"" if d is None else str(d).encode()).hexdigest() for _, d in mine]
+        assert digests == sorted(digests)
+    assert sorted(r.row.src for r in got) == list(range(900))
+
+
 def test_mix_given_weights(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(2000)], "doc_id bigint, source string")
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
-    rows = mixing.mix(docs, weights, block=4).orderBy("__slot", "__pos").limit(800).collect()
-    assert abs(sum(r.source == "a" for r in rows) - 600) <= 4
+    rows = mixing.mix(docs, weights, block=4).orderBy("slot", "pos").limit(800).collect()
+    assert abs(sum(r.src == "a" for r in rows) - 600) <= 4
 
 
 # --- spans
@@ -233,6 +249,51 @@ def test_spans_cover_repeated_runs_to_their_ends(spark):
     assert got[400] == rows[-1][1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=".!?…。\"' \nab\u3042", max_size=60))
+def test_sentence_ends_one_by_one(text):
+    """Against a reading character by character: after a run of stops and closers, if white or the run holds a wide stop."""
+    want, i = [], 0
+    while i < len(text):
+        if text[i] == "\n":
+            j = i + 1
+        elif text[i] in sentence_spans.STOPS:
+            j = i
+            while j < len(text) and text[j] in sentence_spans.STOPS:
+                j += 1
+            wide = any(c in "。！？" for c in text[i:j])
+            while j < len(text) and text[j] in "\"'":
+                j += 1
+            if not wide and not (j < len(text) and text[j].isspace()):
+                i = j
+                continue
+        else:
+            i += 1
+            continue
+        while j < len(text) and text[j].isspace():
+            j += 1
+        want.append(j)
+        i = j
+    assert [m.end() for m in sentence_spans.END.finditer(text)] == want
+
+
+def test_chunks_change_nothing(spark):
+    """Spans sifted in chunks of a few, and over many partitions, give the rows of one chunk."""
+    shared = [prose(99, 60), prose(98, 50)]
+    rows = [(i % 17, prose(i, 60) + " " + shared[i % 2] + " " + prose(i % 5 + 100, 40) + " " + shared[i % 3 % 2]) for i in range(40)]
+    rows += rows[:3] + [(None, shared[0]), (None, shared[1]), (None, shared[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(repr, sentence_spans.dedup_spans(docs.coalesce(1)).collect()))
+    assert sorted(map(repr, sentence_spans.dedup_spans(docs.repartition(7), chunk=1).collect())) == want
+
+
+@pytest.mark.parametrize("text", ["." * 1_000_000, ".'" * 500_000, "。." * 500_000, "a." * 500_000, "x" * 1_000_000, "\n" * 1_000_000, "a b" * 300_000])
+def test_long_runs_take_linear_time(text):
+    began = time.perf_counter()
+    sentence_spans._hashed(*sentence_spans._parts(text)[1:])
+    assert time.perf_counter() - began < 6
+
+
 def test_exact_copies_go_whole(spark):
     texts = dict(table("documents", "doc_id, text"))
     first: dict = {}
@@ -437,6 +498,17 @@ def test_exact_neighbours():
         assert abs(model.score([t])[0] - want) < 1e-4
 
 
+def test_ties_go_to_the_smaller_id():
+    """More equal neighbours than votes: those with the smallest ids vote, in any batch."""
+    n = 3 * quality.NEIGHBOURS
+    text = prose(1, 40)
+    model = quality.Model(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, quality.RANK, dtype=np.float32), np.zeros((0, quality.RANK), np.float32), np.zeros(0))
+    model.vectors = model.latent(np.stack([quality.vector(text)] * n + [quality.vector(prose(k, 40)) for k in range(50)]))
+    model.labels = np.array([1.0] * quality.NEIGHBOURS + [0.0] * (n - quality.NEIGHBOURS + 50))
+    for batch in ([text], [text, prose(2, 9)], [prose(3, 9)] * 7 + [text]):
+        assert model.score(batch)[batch.index(text)] == 1.0
+
+
 # --- near copies
 
 
