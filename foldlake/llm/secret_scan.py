@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-The patterns (assign, access, hex) always stand. A candidate is any other token of 12 or more characters of secrets that
-is not plain letters; the network reads it with the characters around it and says how likely it is a secret. It is
-trained here, in numpy, on labelled findings (``findings()``: a seeded list of secrets and look-alikes in several
-languages and code, of a stated size, or the caller's own), calibrated on findings that it was not trained on, and cuts
-at the highest probability that still finds ``RECALL`` of the secrets among those. The training set does not depend on
-the corpus, so verdicts are alike at every size.
+The patterns (assign, access, hex) always stand. A candidate is every other token of 12 or more characters of secrets,
+plain words too; the network reads it with the characters around it and says how likely it is a secret. It is trained
+here, in numpy, on labelled findings (``findings()``: a seeded list of secrets and look-alikes in several languages and
+code, of a stated size, or the caller's own), calibrated on findings that it was not trained on, and cuts each kind of
+candidate (letters of one case, letters, letters and digits, any) at the highest probability that still finds ``RECALL``
+of the secrets of that kind in a third set, or lower where ``FALSE`` of its look-alikes at most get there. The training set does not depend on the corpus, so verdicts are alike at
+every size.
 
 Defined cases: a null or empty text has no spans. A candidate of more than CANDIDATE characters is read in tiles of
 that length, each with the same context; the likeliest tile counts. A candidate that touches a pattern's span is left
-to the pattern. Spans are in code points, end exclusive.
+to the pattern. Spans are in code points, end exclusive. Repeated rows get equal spans; an empty table gives no rows. Texts
+are read whole, in time that grows with their length. Other columns pass through ``mask_secrets`` whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, parts, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -33,7 +34,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{12,}")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "network": 3}
 BEFORE, CANDIDATE, AFTER = 24, 48, 8
 LENGTH = BEFORE + CANDIDATE + AFTER
-TRAIN, HELD, SEED, RECALL = 4000, 2000, 7, 0.98
+#: Findings to train on, to calibrate on and to cut by.
+TRAIN, CALIBRATE, CUT, SEED, RECALL, FALSE = 12_000, 3000, 8000, 7, 0.98, 0.002
 
 Span = tuple[str, int, int]
 
@@ -52,18 +54,29 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    out = []
+    """(start, end) of every token that touches none of ``taken``, which come by start."""
+    out, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        word = m.group().rstrip(".")
-        inner = word[1:]
-        if len(word) < 12 or (word.isalpha() and (inner.islower() or word.isupper())):
+        start = m.start()
+        end = start + len(m.group().rstrip("."))
+        if end - start < 12:
             continue
-        start, end = m.start(), m.start() + len(word)
-        if not any(s < end and start < e for _, s, e in taken):
+        while at < len(taken) and taken[at][1] < end:
+            reach, at = max(reach, taken[at][2]), at + 1
+        if reach <= start:
             out.append((start, end))
     return out
 
 
+KINDS = ("one case", "letters", "letters and digits", "any")
+
+
+def kind(word: str) -> int:
+    if word.isalpha():
+        return 0 if word[1:].islower() or word.isupper() else 1
+    return 2 if word.isalnum() else 3
+
+
 # --- the network
 
 _CODES = np.full(128, 1, np.int64)  # 0: beyond the text, 1: any other character
@@ -95,7 +108,7 @@ def encode(tiles: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """Embedding, convolution of WIDTH characters, ReLU, maxima over candidate and context and a mean, one logit."""
 
-    DIM, WIDTH, FILTERS = 8, 5, 24
+    DIM, WIDTH, FILTERS = 8, 5, 32
 
     def __init__(self, seed: int):
         r = np.random.default_rng(seed)
@@ -107,7 +120,7 @@ class Network:
             "v": normal(3 * self.FILTERS, by=0.1),
             "c": np.zeros(1, np.float32),
         }
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, np.full(len(KINDS), 0.5)
 
     def _forward(self, x: np.ndarray, inside: np.ndarray):
         p, n = self.p, len(x)
@@ -149,7 +162,7 @@ class Network:
         g["E"][0] = 0
         return g
 
-    def fit(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 5e-3, seed: int = SEED) -> None:
+    def fit(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 96, rate: float = 5e-3, seed: int = SEED) -> None:
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for _ in range(epochs):
@@ -161,16 +174,24 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold with that recall."""
+    def calibrate(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling by Newton steps."""
         s, w = self.logits(x, inside).astype(np.float64), np.array([1.0, 0.0])
         a = np.stack((s, np.ones_like(s)), axis=1)
         for _ in range(30):
             q = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
             w -= np.linalg.solve((a * (q * (1 - q) + 1e-6)[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (q - y) + 1e-3 * (w - [1, 0]))
         self.scale, self.shift = float(w[0]), float(w[1])
-        hits = np.sort(self.probability(x, inside)[y == 1])
-        self.threshold = float(hits[int((1 - recall) * len(hits))])
+
+    def cut(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, kinds: np.ndarray, recall: float) -> None:
+        """For each kind the highest threshold with that recall, or a lower one, 0.5 at least, if no more than FALSE of the
+        kind's look-alikes reach it; 0.5 where there is no secret of the kind."""
+        q = self.probability(x, inside)
+        for k in range(len(KINDS)):
+            hits, rest = (np.sort(q[(y == label) & (kinds == k)]) for label in (1, 0))
+            if len(hits):
+                clear = np.nextafter(rest[max(0, len(rest) - 1 - int(FALSE * len(rest)))], 2) if len(rest) else 0.5
+                self.thresholds[k] = min(hits[int((1 - recall) * len(hits))], max(0.5, clear))
 
 
 # --- labelled findings
@@ -184,19 +205,35 @@ def findings(n: int, seed: int) -> list[Finding]:
     pick = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
     alnum, b64, hexa = low + up + dig, low + up + dig + "+/", "0123456789abcdef"
-    parts = "the er ing tion and est le eau ou re qu der sch ung ein keit la ci ado ar os en an on st th".split()
-    word = lambda a=1, b=4: "".join(r.choices(parts, k=r.randint(a, b)))
+    sample = lambda text: r.choice(text.split())
+    starts = "b br c ch cl d dr f fl fr g gr h j k kl l m n p pf pl pr qu r s sch sh sp st str t th tr v w wh z _ _ _".replace("_", "").split(" ")
+    middles, ends = "a e i o u ai au ea ee ei eu ie io ou ui á é è ê ó ö ü ä y", "_ _ _ n r s t l m nd nt ng st rt ch ss x th ß"
+    common = "the and tion ing ent ion her ver ein ich sch eit lich keit ung der die und que les des eau ment aux elle los ado ción mente as os er on en th wh ha ly ed re an in of to is".split()
+    syllable = lambda: r.choice(common) if r.random() < 0.6 else r.choice(starts) + sample(middles) + sample(ends).replace("_", "")
+    word = lambda a=1, b=4: "".join(syllable() for _ in range(r.randint(a, b)))
     words = lambda k: " ".join(word() for _ in range(k))
     secret = [
-        lambda: pick(alnum, 20, 64),
+        lambda: pick(alnum, 16, 64),
+        lambda: pick(alnum, 16, 32),
+        lambda: pick(low, 16, 40),
+        lambda: pick(up, 16, 40),
+        lambda: pick(low + up, 16, 40),
+        lambda: pick(low + dig, 16, 40),
+        lambda: pick(up + dig, 16, 40),
         lambda: pick(b64, 24, 88) + r.choice(["", "=", "=="]),
         lambda: pick(hexa.upper(), 24, 64),
-        lambda: r.choice(["sk_live_", "ghp_", "xoxb-", "glpat-", "pk_", "SG."]) + pick(alnum, 20, 40),
+        lambda: r.choice(["sk_live_", "sk-", "ghp_", "gho_", "github_pat_", "xoxb-", "glpat-", "npm_", "pk_", "SG.", "hf_", word(1, 1) + "_"]) + pick(alnum, 20, 40),
         lambda: "eyJ" + pick(alnum + "_-", 15, 40) + "." + pick(alnum + "_-", 20, 60) + "." + pick(alnum + "_-", 20, 43),
         lambda: pick(alnum + "_-", 20, 48),
         lambda: "AIza" + pick(alnum + "_-", 35, 35),
     ]
     plain = [
+        lambda: word(5, 9),
+        lambda: word(5, 9),
+        lambda: word(5, 9).capitalize(),
+        lambda: word(5, 9).upper(),
+        lambda: word(2, 5) + word(1, 4).capitalize(),
+        lambda: pick(dig, 12, 30),
         lambda: "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12)),
         lambda: ".".join(pick(dig, 1, 3) for _ in range(4)) + "." + pick(dig, 1, 4),
         lambda: pick(dig, 12, 15),
@@ -214,34 +251,38 @@ def findings(n: int, seed: int) -> list[Finding]:
     ]
     lead = ["", "", "", "auth = ", "Bearer ", "Authorization: Basic ", "key: ", "client_id='", 'credential="', "pwd ", "private_key=", "export KEY=", '"sig": "', "see ", "file ", "id: ", "commit ", "version ", "http://", "path="]
     out: list[Finding] = []
-    for i in range(n):
-        label = i % 2
-        value = (secret if label else plain)[r.randrange(len(secret if label else plain))]()
-        if len(value) < 12:
-            value += word(4, 6)
-        if not label and r.random() < 0.2:
+    while len(out) < n:
+        label = len(out) % 2
+        value = r.choice(secret if label else plain)()
+        if not label and r.random() < 0.1:
             value = value.upper()
-        before = words(r.randint(0, 6)) + r.choice([" ", "\n", ". ", ""]) + r.choice(lead if r.random() < 0.6 else [""])
+        before = words(r.randint(0, 6)) + r.choice([" ", "\n", ". ", ", ", ""]) + r.choice(lead if r.random() < 0.5 else [""])
         if before and before[-1] not in " \n\"'=:/":
             before += " "
-        text = before + value + r.choice(["", " ", '" ', "'\n", ". ", "### "]) + words(r.randint(0, 4))
-        out.append((text, len(before), len(before) + len(value), label))
+        after = r.choice(["", " ", " ", '" ', "'\n", ". ", ", ", "!!", "%%% ", "### "]) + words(r.randint(0, 4))
+        # as a scan sees it: the longest token of the value, with all that stands around it
+        found = [(a, b) for a, b in candidates(before + value + after, []) if a < len(before) + len(value) and b > len(before)]
+        if found:
+            out.append((before + value + after, *max(found, key=lambda f: f[1] - f[0]), label))
     return out
 
 
-def train(labelled: list[Finding], held: list[Finding], recall: float = RECALL, seed: int = SEED) -> Network:
-    """Fit on ``labelled``, calibrate on ``held``; both are lists of a bounded, stated size."""
+def train(labelled: list[Finding], calibration: list[Finding], held: list[Finding], recall: float = RECALL, seed: int = SEED) -> Network:
+    """Fits on the first list, calibrates on the second, cuts by the third; lists of a bounded, stated size."""
     net = Network(seed)
-    for part in (labelled, held):
+    for k, part in enumerate((labelled, calibration, held)):
         x, inside = encode([windows(t, s, e)[0] for t, s, e, _ in part])
-        y = np.array([k for *_, k in part], np.float32)
-        net.fit(x, inside, y) if part is labelled else net.calibrate(x, inside, y, recall)
+        y = np.array([label for *_, label in part], np.float32)
+        if k == 2:
+            net.cut(x, inside, y, np.array([kind(t[s:e]) for t, s, e, _ in part]), recall)
+        else:
+            (net.calibrate if k else net.fit)(x, inside, y)
     return net
 
 
 @lru_cache(maxsize=1)
 def default_network() -> Network:
-    return train(findings(TRAIN, SEED), findings(HELD, SEED + 1))
+    return train(findings(TRAIN, SEED), findings(CALIBRATE, SEED + 1), findings(CUT, SEED + 2))
 
 
 def scan(texts: list[str], net: Network) -> list[list[Span]]:
@@ -258,7 +299,7 @@ def scan(texts: list[str], net: Network) -> list[list[Span]]:
     for at in range(0, len(tiles), 4096):
         np.maximum.at(best, owner[at : at + 4096], net.probability(*encode(tiles[at : at + 4096])))
     for (i, start, end), q in zip(found, best):
-        if q >= net.threshold:
+        if q >= net.thresholds[kind(texts[i][start:end])]:
             spans[i].append(("network", start, end))
     return [sorted(s, key=lambda x: (x[1], ORDER[x[0]])) for s in spans]
 
@@ -308,17 +349,18 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(at).to_pylist()
-            for i in range(0, len(text), 256):
-                for k, spans in enumerate(scan([t or "" for t in text[i : i + 256]], net)):
-                    if spans:
-                        text[i + k] = masked(text[i + k], spans)
-            cols = list(batch.columns)
-            if size is not None:
-                old = cols[at].to_pylist()
-                cols[size] = pa.array([len(t) if t is not None and t != o else n for t, o, n in zip(text, old, cols[size].to_pylist())], cols[size].type)
+        for part in parts(batches, at):
+            text = part.column(at).to_pylist()
+            chars = part.column(size).to_pylist() if size is not None else []
+            for k, spans in enumerate(scan([t or "" for t in text], net)):
+                if spans:
+                    text[k] = masked(text[k], spans)
+                    if size is not None:
+                        chars[k] = len(text[k])
+            cols = list(part.columns)
             cols[at] = pa.array(text, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            if size is not None:
+                cols[size] = pa.array(chars, cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)
