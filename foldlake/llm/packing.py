@@ -11,7 +11,8 @@ other, and a group's sequences are numbered by the mean place of what they hold,
 to within a range.
 
 Defined cases: a null or empty text is one piece of the end id alone. Equal sizes go by doc_id (nulls first), then by
-checksum; rows that repeat a doc_id are packed each on their own. An empty table gives no rows.
+checksum; rows that repeat a doc_id are packed each on their own. An empty table gives no rows. A text of any length is
+encoded whole and cut into pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-LENGTH, END, GROUP, RANGE = 2048, 1, 8192, 1024
+LENGTH, END, GROUP, RANGE = 2048, 1, 2048, 1024
+#: Names of so many files are broadcast.
+FILES = 1_000_000
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal int, place bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -47,7 +50,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(json_path)
+    exact = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(json_path))
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL not in text:
@@ -56,7 +59,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
             except BaseException as e:  # the library's panic is no Exception
                 if isinstance(e, KeyboardInterrupt | SystemExit):
                     raise
-        return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(exact().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 
@@ -88,8 +91,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pieces(df: DataFrame, groups: int, length: int = LENGTH, end: int = END, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """A row for each piece, with the group that it is dealt to and the document's ``place``, null if ``df`` has none.
+def pieces(df: DataFrame, groups: int, length: int = LENGTH, end: int = END, json_path: str | None = None, ranks_path: str | None = None, place: str | None = None) -> DataFrame:
+    """A row for each piece, with the group that it is dealt to and the document's place, from column ``place``, or null.
 
     With places, a range of ``groups`` places is a group. Else the deal hashes doc_id with a row counter of the task, so
     that rows which repeat one doc_id spread as well; a task run again counts the same rows again.
@@ -112,8 +115,8 @@ def pieces(df: DataFrame, groups: int, length: int = LENGTH, end: int = END, jso
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5 + [pa.int32(), pa.int64()])], [x.split(" ")[0] for x in PIECES.split(", ")])
 
-    place = F.col("__place") if "__place" in df.columns else F.lit(None).cast("bigint")
-    return df.select("doc_id", F.col("text").cast("string"), place).mapInArrow(run, PIECES)
+    at = F.col(place) if place else F.lit(None).cast("bigint")
+    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), at).mapInArrow(run, PIECES)
 
 
 def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -148,11 +151,14 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 
 def pack_in_order(docs: DataFrame, length: int = LENGTH, span: int = RANGE) -> DataFrame:
     """Packs ``docs``, read from files, in the order in which they were written: by file name, then by row."""
-    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__file", (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__file")) - F.col("__n")).alias("__before"))  # a row for each file
-    placed = rows.join(F.broadcast(before), "__file").withColumn("__place", F.col("__before") + F.col("__row"))
-    return pack(pieces(placed, span, length), length)
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.length("file"), "file")  # a row for each file; a sixth digit sorts behind five
+    before = sizes.select("file", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    if sizes.count() <= FILES:
+        before = F.broadcast(before)
+    placed = rows.join(before, "file").select("doc_id", "text", (F.col("before") + F.col("row")).alias("place"))
+    return pack(pieces(placed, span, length, place="place"), length)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
