@@ -6,8 +6,12 @@ compress little and long ones more, so each class of length has its own band: to
 noise that does not compress. The lowest ratios lie between those measured for noise (base64, letters and digits, random
 words over 94 symbols) and for clean text (en, de, es, fr) of the class; below 128 bytes the two are not told apart.
 
+Parameter ``share``: the share of a text's bytes in chunks outside their band that still passes, 0 unless the caller
+says otherwise: one such chunk and the document goes. The rest behind the last chunk is judged by the band of its length.
+
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. Rows are judged one by one, so
-repeated rows get equal verdicts.
+repeated rows get equal verdicts. An empty table gives no rows. Texts are read whole, in time that grows with their
+length. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ BANDS = (
     (1024, 1.49, 4.0), (2048, 1.6, 4.5), (4096, 1.65, 4.5), (16384, 1.65, 6.0), (131072, 1.65, 8.0),
 )
 #: The lowest and the highest ratio of a full chunk, and the share of a text's bytes in chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = (1.65, 6.0), 0.2
-SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, worst_chunk_ratio double, chunks_outside bigint"
+CHUNK_BAND, CHUNK_SHARE = (1.65, 6.0), 0.0
+SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, most_chunk_ratio double, chunks_outside bigint"
 
 
 def repeat_words(words: list[str], window: int = WINDOW) -> int:
@@ -68,10 +72,10 @@ def band(size: int) -> tuple[float, float]:
     return BANDS[bisect_right(BANDS, (size, float("inf"))) - 1][1:]
 
 
-def verdict(data: bytes, zip_size) -> tuple[float, float, int, bool]:
-    """Ratio of the whole, the chunk ratio farthest from 1, chunks outside the band, and whether the text passes."""
+def verdict(data: bytes, zip_size, share: float = CHUNK_SHARE) -> tuple[float, float, float, int, bool]:
+    """Ratio of the whole, lowest and highest of the chunks', chunks outside their band, and whether the text passes."""
     if not data:
-        return 0.0, 0.0, 0, False
+        return 0.0, 0.0, 0.0, 0, False
     ratio = len(data) / zip_size(data)
     low, high = band(len(data))
     chunks, outside, amiss = [], 0, 0
@@ -79,14 +83,13 @@ def verdict(data: bytes, zip_size) -> tuple[float, float, int, bool]:
         part = data[i : i + CHUNK]
         x = len(part) / zip_size(part) if len(data) > CHUNK else ratio
         least, most = CHUNK_BAND if len(part) == CHUNK else band(len(part))
-        if len(part) == CHUNK or i:
-            chunks.append(x)
+        chunks.append(x)
         if not least <= x <= most:
             outside, amiss = outside + 1, amiss + len(part)
-    return ratio, max(chunks, default=ratio), outside, low <= ratio <= high and amiss <= CHUNK_SHARE * len(data)
+    return ratio, min(chunks), max(chunks), outside, low <= ratio <= high and amiss <= share * len(data)
 
 
-def compression_bands(docs: DataFrame) -> DataFrame:
+def compression_bands(docs: DataFrame, share: float = CHUNK_SHARE) -> DataFrame:
     def kernel(cols: list[list]) -> dict[str, list]:
         press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         zip_size = lambda b: len(press.compress(b))
@@ -95,8 +98,8 @@ def compression_bands(docs: DataFrame) -> DataFrame:
             words = WORD.findall(text)
             n, again = len(words), repeat_words(words)
             failed = n < 20 or 100 * again > 30 * n
-            ratio, worst, outside, passes = verdict(text.encode("utf-8", "surrogatepass"), zip_size)
-            row = (doc_id, n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, failed, passes and not failed, ratio, worst, outside)
+            ratio, least, most, outside, passes = verdict(text.encode("utf-8", "surrogatepass"), zip_size, share)
+            row = (doc_id, n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, failed, passes and not failed, ratio, least, most, outside)
             for col, x in zip(out.values(), row):
                 col.append(x)
         return out

@@ -4,8 +4,12 @@
 (none), 5 (LZW), 8 and 32946 (deflate) and 32773 (PackBits); 8 or 16 bits a sample; predictor 1 or 2; either byte order;
 strips or tiles; chunky or planar samples. ``write_tiff`` stores pages in any of these (8 bits, chunky).
 
-Defined cases: a null or empty value is no file and gives no pages; one that cannot be read gives one row with page
-null and the reason in ``error``; a directory that points back to an earlier one ends the walk. Rows are read one by one.
+Defined cases: a null or empty value is no file and gives no pages; one that cannot be read gives, after the pages in
+front of the fault, one row with page null and the reason in ``error``, whatever is broken: sizes of nothing or beyond
+LARGEST bytes a page, tags of another kind, places outside the file, data that decode to less than their strip or tile
+(what they hold beyond it is not decoded). A directory that points back to an earlier one ends the walk. Repeated rows
+get equal rows, an empty table none. Values are read one by one and pages leave one by one, so memory follows the largest
+page. Columns besides the key and the value are not read.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", 32946: "deflate", PACKBITS: "packbits"}
+#: Bytes of a page's pixels.
+LARGEST = 1 << 30
 KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4)}
 
 
@@ -47,10 +54,12 @@ class Page:
 # --- decoders and encoders of one strip or tile
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, at, n = [], 0, len(data)
-    while at < n:
+def packbits_decode(data: bytes, need: int = LARGEST) -> bytes:
+    """The first ``need`` bytes, or a few more; all if there are fewer."""
+    out, at, n, made = [], 0, len(data), 0
+    while at < n and made < need:
         c = data[at]
+        made += c + 1 if c < 128 else 257 - c
         if c < 128:
             out.append(data[at + 1 : at + 2 + c])
             at += 2 + c
@@ -127,7 +136,9 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, need: int = LARGEST) -> bytes:
+    """The first ``need`` bytes, or a few more; all if there are fewer."""
+    made = 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     words, width, acc, bits, out, last = list(base), 9, 0, 0, [], b""
     for byte in data:
@@ -149,7 +160,10 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError(f"LZW code {code} of {len(words)}")
         out.append(word)
-        if last:
+        made += len(word)
+        if made >= need:
+            break
+        if last and len(words) < 4096:
             words.append(last + word[:1])
         last = word
         if len(words) + 1 >= 1 << width and width < 12:
@@ -157,15 +171,18 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def decode(data: bytes, compression: int) -> bytes:
+def decode(data: bytes, compression: int, need: int) -> bytes:
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, need)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, need)
     if compression in (DEFLATE, 32946):
-        return zlib.decompress(data)
+        try:
+            return zlib.decompressobj().decompress(data, need)
+        except zlib.error as e:
+            raise TiffError(str(e)) from e
     raise TiffError(f"compression {compression}")
 
 
@@ -206,18 +223,27 @@ def _directory(blob: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
 
 
 def _page(blob: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+    def one(tag: int, default: int = 0) -> int:
+        value = (tags.get(tag) or (default,))[0]
+        if not isinstance(value, int):
+            raise TiffError(f"tag {tag} is no number")
+        return value
+
     width, height, samples, bits = one(256), one(257), one(277, 1), one(258, 1)
     compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
-    if not width or not height:
-        raise TiffError("no width or height")
+    if not width or not height or not samples:
+        raise TiffError("no width, height or samples")
+    if width * height * samples * bits // 8 > LARGEST:
+        raise TiffError(f"{width} x {height} x {samples} is too large")
     if bits not in (8, 16) or predictor not in (1, 2):
         raise TiffError(f"{bits} bits, predictor {predictor}")
     tiled = 322 in tags
     w, h = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     offsets, counts = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
-    if not offsets or not counts or len(offsets) != len(counts):
+    if not w or not h or not offsets or not counts or len(offsets) != len(counts) or not all(isinstance(x, int) for x in (*offsets, *counts)):
         raise TiffError("no strips or tiles")
+    if w * h * samples * bits // 8 > LARGEST:
+        raise TiffError(f"tiles of {w} x {h} are too large")
     kind = np.dtype("u1" if bits == 8 else order + "u2")
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // w), -(-height // h)
@@ -228,8 +254,8 @@ def _page(blob: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
         plane, cell = divmod(i, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
-        data = decode(blob[offsets[i] : offsets[i] + counts[i]], compression)
         need = rows * w * deep * kind.itemsize
+        data = decode(blob[offsets[i] : offsets[i] + counts[i]], compression, need)
         if len(data) < need:
             raise TiffError(f"strip or tile {i} has {len(data)} of {need} bytes")
         part = np.frombuffer(data, kind, rows * w * deep).reshape(rows, w, deep)
@@ -281,47 +307,48 @@ PAGES = "page int, width int, height int, samples int, bits int, compression str
 
 
 def tiff_pages(df: DataFrame, key: str, blob: str) -> DataFrame:
-    """One row per page of each value of the binary column ``blob``, with ``key``; an error's row comes after the good pages."""
+    """One row per page of each value of the binary column ``blob``, with ``key`` (named key_ if a page's column has its
+    name); an error's row comes after the good pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    kept = df.select(key, blob).schema[key]
-    schema = f"`{key}` {kept.dataType.simpleString()}, {PAGES}"
-    names = [x.split(" ")[0] for x in PAGES.split(", ")]
+    pages = _parse_datatype_string(PAGES)
+    picked = df.select(F.col(f"`{key}`"), F.col(f"`{blob}`").cast("binary"))
+    schema = StructType([StructField(key + "_" * (key in pages.names), picked.schema[0].dataType), *pages.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 value = batch.column(1)[i].as_py()
-                rows: list[dict] = []
-                try:
-                    for p in read_pages(value) if value else ():
-                        rows.append(vars(p))
-                except (TiffError, zlib.error) as e:
-                    rows.append({"error": str(e)})
-                if rows:
-                    cols = [pa.array([batch.column(0)[i].as_py()] * len(rows), out.types[0])]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, out.types[1:])], out.names)
-
-    from pyspark.sql.types import _parse_datatype_string
+                walk = read_pages(value) if value else iter(())
+                while True:
+                    try:
+                        row = vars(next(walk))
+                    except StopIteration:
+                        break
+                    except TiffError as e:
+                        row = {"error": str(e)}
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).cast(out.types[0]), *(pa.array([row.get(n)], t) for n, t in zip(pages.names, out.types[1:]))], out.names)
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
-    return df.select(key, blob).mapInArrow(run, schema)
+    out = to_arrow_schema(schema)
+    return picked.mapInArrow(run, schema)
 
 
 # --- the query: texts stored as images
 
 PIXELS, SAMPLES, PAGE_ROWS = 64, 3, 256
 ROW = PIXELS * SAMPLES
-SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pages array<string>"
 
 
 def store(data: bytes) -> bytes:
     """``data`` padded with spaces to rows of 192 bytes (64 RGB pixels), in pages of up to 256 rows.
 
-    The number of rows decides, at every length, between LZW strips, LZW tiles and deflate tiles with the horizontal
+    The padded bytes' checksum decides, at every length, between LZW strips, LZW tiles and deflate tiles with the horizontal
     predictor, PackBits strips, and deflate strips with the predictor.
     """
-    image = np.frombuffer(data.ljust(max(1, -(-len(data) // ROW)) * ROW), np.uint8).reshape(-1, PIXELS, SAMPLES)
+    data = data.ljust(max(1, -(-len(data) // ROW)) * ROW)
+    image = np.frombuffer(data, np.uint8).reshape(-1, PIXELS, SAMPLES)
     pages = [image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)]
     return [
         lambda: write_tiff(pages, LZW, rows=64),
@@ -329,7 +356,7 @@ def store(data: bytes) -> bytes:
         lambda: write_tiff(pages, PACKBITS, rows=32),
         lambda: write_tiff(pages, DEFLATE, predictor=2, rows=64),
         lambda: write_tiff(pages, DEFLATE, predictor=2, tile=(64, 64)),
-    ][len(image) % 5]()
+    ][zlib.crc32(data) % 5]()
 
 
 def digest(text: str) -> tuple:
@@ -341,7 +368,8 @@ def digest(text: str) -> tuple:
     means = a.reshape(-1, SAMPLES).mean(axis=0, dtype=np.float64)
     hist = np.bincount(a >> 5, minlength=8)
     feature = f"{len(pages)} {pages[0].compression}{'+tiles' * pages[0].tiled} {PIXELS}x{len(a) // ROW} {'/'.join(f'{m:.3f}' for m in means)} {'/'.join(map(str, hist))}"
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    each = [f"{p.page} {p.width}x{p.height}x{p.samples} {p.compression} {p.predictor} {zlib.crc32(p.pixels):08x}" for p in pages]
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, each
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
