@@ -4,16 +4,17 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 the columns of ``documents``. What a stage decides shows in its rows: rejected documents and all but one of near copies
 are gone, secrets are masked in the texts, rows lie in the order of the mixing schedule, and the last stage gives the
 packed pieces, whose sequences keep to that order as the files have it.
+
+Defined cases: those of the operators that the stages call. Nulls in any column, empty and very long texts and repeated
+rows pass through; an empty table gives no rows; further columns of ``documents`` stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from foldlake.llm import bagminhash, mixing, packing, quality, secret_scan
-from foldlake.llm.common import shared_dir, table
+from foldlake.llm.common import scratch, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, place = table(spark, sf_dir, "documents"), scratch(spark, "corpus")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
