@@ -64,6 +64,12 @@ def map_texts(df: DataFrame, keys: list[str], text: str, kernel: Callable[[list[
     return df.select(*picked).mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``run`` over whole rows of ``docs``, whose columns it must not rename; their names may hold any characters."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it; our own only in local mode (tests)."""
     if not (place := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):

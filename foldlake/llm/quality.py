@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, parts, table
+from .common import map_rows, map_texts, parts, table
 
 HASHED, RANK, SAMPLE, NEIGHBOURS = 1024, 64, 4096, 15
 #: Of a shape term against a common trigram.
@@ -157,7 +157,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = shared.value.score([t or "" for t in part.column(at).to_pylist()])
             yield part.filter(pa.array(score >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, parts, table
+from .common import map_rows, map_texts, parts, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -363,4 +363,4 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                 cols[size] = pa.array(chars, cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -310,11 +310,11 @@ def tiff_pages(df: DataFrame, key: str, blob: str) -> DataFrame:
     """One row per page of each value of the binary column ``blob``, with ``key`` (named key_ if a page's column has its
     name); an error's row comes after the good pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
     pages = _parse_datatype_string(PAGES)
-    picked = df.select(F.col(f"`{key}`"), F.col(f"`{blob}`").cast("binary"))
-    schema = StructType([StructField(key + "_" * (key in pages.names), picked.schema[0].dataType), *pages.fields])
+    picked = df.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{blob}`").cast("binary").alias("blob_"))
+    schema = StructType([picked.schema[0], *pages.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +331,7 @@ def tiff_pages(df: DataFrame, key: str, blob: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).cast(out.types[0]), *(pa.array([row.get(n)], t) for n, t in zip(pages.names, out.types[1:]))], out.names)
 
     out = to_arrow_schema(schema)
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema).withColumnRenamed("key_", key + "_" * (key in pages.names))
 
 
 # --- the query: texts stored as images

@@ -50,7 +50,7 @@ def odd(spark, odd_rows, tmp_path_factory):
 
     place = str(tmp_path_factory.mktemp("odd"))
     docs = spark.createDataFrame(odd_rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    clash = "kept score node label bands class_id sequence_id spans a period k slot n h1 start deal n_words html page row src order salt place rank none is_none id hash __src __order __bucket __rn __node __kept __rep __slot __pos __place __file __id __hash __t".split()
+    clash = "kept score node label bands class_id sequence_id spans a period k slot n h1 start deal n_words html page row src order salt place rank none is_none id hash __src __order __bucket __rn __node __kept __rep __slot __pos __place __file __id __hash __t a.b c0".split()
     docs.withColumns({c: F.lit(c) for c in clash}).repartition(2).write.parquet(f"{place}/documents.parquet")
     spark.createDataFrame([(i, i % 2, None) for i in range(12)] + [(None, 1, 0), (3, None, 0), (1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     pages = [(0, "u", "<p>a b</p>"), (0, "u", "<p>a b</p>"), (None, None, None), (2, "u2", ""), (3, "u3", "<div>" * 3000 + "deep"), (4, "u4", "no tags at all"), (5, "u5", "<article><h1>T</h1><p>" + "word " * 60_000 + "</p></article><footer>f</footer>")]
