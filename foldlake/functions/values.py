@@ -11,6 +11,19 @@ def user_key(c: Column) -> Column:
     return F.concat(F.lit("user"), F.lpad(c.cast("string"), 20, "0"))
 
 
+def sequential_text(c: Column, size: int) -> Column:
+    """The value after ``c`` + 1 turns of an odometer of ``size`` places: digits '_', 'a' to 'z', the first place fastest."""
+    digit = lambda k: F.call_function("div", c.cast("long") + 1, F.lit(27**k)) % 27 + 1
+    places = [F.substring(F.lit("_abcdefghijklmnopqrstuvwxyz"), digit(k).cast("int"), F.lit(1)) for k in range(min(size, 13))]
+    return F.rpad(F.concat(*places), size, "_")
+
+
+def random_key(c: Column, seed: int = 0, size: int = 24) -> Column:
+    """'user' and digits that a hash of ``c`` and ``seed`` gives; ``size`` characters in all, 22 digits at most."""
+    digits = F.concat(*[F.lpad(F.pmod(F.xxhash64(c, F.lit(seed * 4 + k)), F.lit(10**11)).cast("string"), 11, "0") for k in range(2)])
+    return F.concat(F.lit("user"), F.substring(digits, 1, size - 4))
+
+
 def from_text(c: Column, op: int = 2) -> Column:
     return F.struct(F.lit(op).alias("op"), F.encode(c, "UTF-8").alias("value"))
 

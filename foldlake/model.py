@@ -7,7 +7,7 @@ edits is its current value; after decay (deletes and no-ops dropped) it is an it
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import types as T
 
@@ -31,20 +31,37 @@ EDIT_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class StoreOptions:
-    """Of a store. ``chi`` batches are folded into one checkpoint; ``retain`` snapshots are kept."""
+    """Of a store. ``chi`` batches are folded into one checkpoint; ``retain`` snapshots are kept.
+
+    Policy "levelled" merges deltas as a binary counter carries; "tiered" stacks them until a checkpoint; "pivot" moves the
+    key range with the most waiting bytes down into the snapshot as soon as it has ``min_flush``. What a commit replaces
+    stays readable for ``grace`` further states.
+    """
 
     chi: int = 1
     retain: int = 2
-    policy: str = "levelled"  # or "tiered": deltas are stacked until a checkpoint, never merged among themselves
+    policy: str = "levelled"
     bloom: bool = True
     max_records_per_file: int = 5_000_000
+    min_flush: int = 64 << 20
+    grace: int = 4
 
     def __post_init__(self):
         if self.chi < 1:
             raise ValueError("chi must be 1 or more")
-        if self.policy not in ("levelled", "tiered"):
+        if self.policy not in ("levelled", "tiered", "pivot"):
             raise ValueError(f"unknown policy {self.policy}")
 
+    @classmethod
+    def from_conf(cls, conf, prefix: str = "foldlake.store.") -> "StoreOptions":
+        """Options from a session's settings (``spark.conf``): prefix and an option's name, typed as its default."""
+        found = {}
+        for f in fields(cls):
+            if (text := conf.get(prefix + f.name, None)) is not None:
+                kind = type(f.default)
+                found[f.name] = text.lower() in ("true", "1", "yes", "on") if kind is bool else kind(text)
+        return cls(**found)
+
 
 @dataclass(frozen=True)
 class TreeOptions:

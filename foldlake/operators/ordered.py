@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import separator
+from ..shared import cut
+
+#: Ranges of keys for so many rows each, within these limits; keys of a sample for each range.
+RANGE_ROWS, RANGES, SAMPLE = 250_000, (8, 8192), 32
+
+
+def place_in(bounds: list[str], key: Column) -> Column:
+    """How many of ``bounds``, which are sorted, lie at or below ``key``: a binary search in each row."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    all_ = F.from_json(F.lit(json.dumps(bounds)), "array<string>")  # folded to one literal when the query is planned
 
-BUCKETS = 64
+    def step(at: Column, add: Column) -> Column:
+        return F.when((at + add <= len(bounds)) & (F.get(all_, at + add - 1) <= key), at + add).otherwise(at)
 
+    return F.aggregate(F.lit(steps), F.lit(0), step)
 
-def key_bounds(df: DataFrame, buckets: int = BUCKETS, sample: int = 4096) -> list[str]:
-    """Up to buckets - 1 keys that cut the table into ranges of like size, from a hash sample of about ``sample`` keys."""
-    step = max(1, df.count() // sample)
-    keys = sorted(r.key for r in df.select("key").where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).limit(8 * sample).collect() if r.key is not None)
+
+def key_bounds(df: DataFrame, buckets: int | None = None) -> list[str]:
+    """Keys that cut the table into ``buckets`` ranges of like size, by a hash sample of keys; without ``buckets``, into
+    ranges of about RANGE_ROWS rows. The driver gets SAMPLE keys for each range."""
+    n = df.count()
+    buckets = buckets or min(max(-(-n // RANGE_ROWS), RANGES[0]), RANGES[1])
+    step = max(1, n // (SAMPLE * buckets))
+    keys = sorted(r.key for r in df.select("key").where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).limit(8 * SAMPLE * buckets).collect() if r.key is not None)
     return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
 
-def running_total(df: DataFrame, size: Column, out: str = "run", buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, size: Column, out: str = "run", buckets: int | None = None) -> DataFrame:
     """``df`` with the sum of ``size`` over all rows up to and with this one, by key (unique).
 
-    Ranges of keys are summed by themselves; then each range's rows add the sums of the ranges before. No window over
-    the whole table.
+    Ranges of keys are summed by themselves, as many as the rows ask for; then each range's rows add the sums of the
+    ranges before. No window over the whole table. ``df`` is computed once and kept in the shared folder.
     """
-    bounds = key_bounds(df, buckets)
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    dealt = df.withColumns({"__size": size, "__range": at})
-    sums = dealt.groupBy("__range").agg(F.sum("__size").alias("__sum"))  # a row for each range
+    kept = cut(df.withColumn("__size", size))
+    dealt = kept.withColumn("__range", place_in(key_bounds(kept, buckets), F.col("key")))
+    sums = dealt.groupBy("__range").agg(F.sum("__size").alias("__sum"))  # a row for each range, RANGES at most
     before = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.sum("__size").over(Window.partitionBy("__range").orderBy("key"))
     return dealt.withColumn("__run", inside).join(F.broadcast(before), "__range").withColumn(out, (F.col("__run") + F.col("__before")).cast("long")).drop("__size", "__range", "__run", "__before")
@@ -41,7 +60,7 @@ def even_parts(df: DataFrame, size: Column, max_part: int, max_item: int) -> Dat
     """``df`` with ``part``: contiguous parts in key order, each of max_part at most, sizes within one item of even."""
     if max_part <= max_item:
         raise ValueError("a part must have room for more than one item")
-    runs = running_total(df, size)
+    runs = cut(running_total(df, size))
     total = runs.agg(F.coalesce(F.max("run"), F.lit(0)).cast("long").alias("total"))
     parts = F.greatest(F.lit(1), F.expr(f"(total + {max_part - max_item} - 1) div {max_part - max_item}"))
     return runs.join(F.broadcast(total), how="cross").withColumn("part", F.floor((F.col("run") - 1) * parts / F.greatest("total", F.lit(1))).cast("int")).drop("total")
@@ -53,7 +72,7 @@ def part_sizes(parts: DataFrame, size: Column) -> DataFrame:
 
 def split_point(df: DataFrame, size: Column) -> DataFrame:
     """(key): the first key of the right half, where the running total is nearest to half of the whole."""
-    runs = running_total(df, size)
+    runs = cut(running_total(df, size))
     half = runs.agg(F.max("run").alias("total"))
     gap = F.abs(2 * (F.col("run") - size) - F.col("total"))
     return runs.join(F.broadcast(half), how="cross").agg(F.min_by("key", F.struct(gap, "key")).alias("key"))
@@ -66,10 +85,10 @@ def revisions(edits: DataFrame) -> DataFrame:
 
 def separators(items: DataFrame, step: int = 16, by: str | None = None) -> DataFrame:
     """(rn, separator) at every ``step``-th key: the shortest prefix that parts it from the key before."""
-    ranked = running_total(items.select("key"), F.lit(1), "rn")
-    cut = ranked.where(F.expr(f"(rn - 1) % {step} = 0 AND rn > 1")).withColumnRenamed("key", "hi")
+    ranked = cut(running_total(items.select("key"), F.lit(1), "rn"))
+    high = ranked.where(F.expr(f"(rn - 1) % {step} = 0 AND rn > 1")).withColumnRenamed("key", "hi")
     prev = ranked.select((F.col("rn") + 1).alias("rn"), F.col("key").alias("lo"))
-    return cut.join(prev, "rn").select("rn", separator("lo", "hi").alias("separator"))
+    return high.join(prev, "rn").select("rn", separator("lo", "hi").alias("separator"))
 
 
 def rates(points: DataFrame, by: str, time: str, ops: str) -> DataFrame:
@@ -80,8 +99,13 @@ def rates(points: DataFrame, by: str, time: str, ops: str) -> DataFrame:
 
 
 def newest_of_runs(edits: DataFrame) -> DataFrame:
-    """One row for each run of equal keys: the newest."""
-    return edits.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))).where("rn = 1").drop("rn")
+    """One row for each run of equal keys: the newest. Counts down on the map side."""
+    return edits.groupBy("key").agg(F.max_by(F.struct("*"), "seq").alias("newest")).select("newest.*")
+
+
+def sort_edits(edits: DataFrame) -> DataFrame:
+    """Edits by key, then newest last, in files that hold ranges of keys."""
+    return edits.repartitionByRange("key").sortWithinPartitions("key", "seq")
 
 
 def out_of_order(df: DataFrame, by: str, order: str) -> DataFrame:

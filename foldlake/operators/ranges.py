@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import in_hash_mask
-from .ordered import key_bounds
+from .ordered import key_bounds, place_in
 
 
 def from_key(df: DataFrame, low: str) -> DataFrame:
@@ -37,18 +37,19 @@ def pivot_ranges(pivots: DataFrame) -> DataFrame:
     return pivots.select((F.row_number().over(w) - 1).cast("int").alias("pivot"), F.col("key").alias("lo"), F.lead("key").over(w).alias("hi"))
 
 
-def route(df: DataFrame, pivots: DataFrame, bound: int = 65536) -> DataFrame:
+def route(df: DataFrame, pivots: DataFrame, bound: int = 8192) -> DataFrame:
     """``df`` with the pivot whose range holds the key; keys below the first pivot are not routed.
 
-    Up to ``bound`` pivots are broadcast as ranges and searched in each row. More are placed by sorting the distinct keys
-    and the pivots together inside ranges of the key, where the last pivot seen is the answer; rows then get it by their
+    Up to ``bound`` pivots go to all rows as a sorted array, which each row searches. More are placed by sorting the
+    distinct keys and the pivots together inside ranges of the key, where the last pivot seen is the answer; rows then get it by their
     key, so a key with very many rows is one row where it is sorted.
     """
+    few = [r.key for r in pivots.select("key").limit(bound + 1).collect()]
+    if len(few) <= bound:
+        return df.withColumn("pivot", (place_in(sorted(few), F.col("key")) - 1).cast("int")).where("pivot >= 0")
     ranges = pivot_ranges(pivots)
-    if ranges.limit(bound + 1).count() <= bound:
-        return df.join(F.broadcast(ranges), (F.col("key") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))).drop("lo", "hi")
     bounds = key_bounds(df)
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    at = place_in(bounds, F.col("key"))
     starts = ranges.select(F.col("lo").alias("key"), "pivot").withColumn("range", at)
     tops = starts.groupBy("range").agg(F.max("pivot").alias("top"))
     every = df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range")).join(tops, "range", "left")
@@ -79,6 +80,6 @@ def sample_by_hash(df: DataFrame, mask: int) -> DataFrame:
 
 
 def maybe_member(df: DataFrame, probes: DataFrame) -> DataFrame:
-    """Rows whose key may be among the probes: shared hash buckets pass, absent ones are rejected early. No false misses."""
-    keys = probes.select(F.pmod(F.xxhash64("key"), F.lit(1 << 20)).alias("h")).distinct()
-    return df.join(keys, F.pmod(F.xxhash64("key"), F.lit(1 << 20)) == F.col("h"), "left_semi")
+    """Rows whose key is among the probes. The join's own runtime filters (a Bloom filter of the probe side, where Spark
+    finds it worth while) reject absent keys at the scan, so no filter of our own goes before it."""
+    return df.join(probes.select("key"), "key", "left_semi")

@@ -7,6 +7,13 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .ordered import running_total
+from .ranges import route
+
+#: Keys that a scan looks at together.
+GROUP = 256
+
 
 def answer_gets(script: DataFrame) -> DataFrame:
     """(at, key, value) for each G or T line: the value last put before it, null if none; keys run in parallel."""
@@ -20,6 +27,55 @@ def check_gets(script: DataFrame) -> DataFrame:
     return answer_gets(script).where((F.col("op") == "T") & ~F.col("found").eqNullSafe(F.col("expected")))
 
 
+def answer_scans(script: DataFrame, group: int = GROUP) -> DataFrame:
+    """(at, rank, key, value) for each S or V line: the first n keys from its key on that were put before it, and the
+    values last put before it; ranks from 0. Scans without a row give none.
+
+    Keys, with the time they were first put, lie in groups of ``group`` by their order. A scan meets its own group's keys
+    by a join on the group's number; while it lacks rows, it meets the next 1, 2, 4, ... groups. So it reads about as many
+    keys as it needs, and the number of rounds follows the logarithm of the longest way. Values then come as for gets.
+    """
+    puts = script.where("op = 'P'")
+    first = puts.groupBy("key").agg(F.min("at").alias("since"))
+    keys = cut(running_total(first, F.lit(1), "rn").select("key", "since", F.expr(f"(rn - 1) div {group}").cast("int").alias("group")))
+    last = keys.agg(F.max("group")).first()[0]
+    scans = script.where("op IN ('S', 'V')").select("at", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
+    if last is None:
+        return scans.where("false").select("at", F.lit(0).alias("rank"), "key", F.lit("").alias("value"))
+    # the first group begins below every key
+    lows = keys.groupBy("group").agg(F.min("key").alias("key")).select(F.when(F.col("group") == 0, F.lit("")).otherwise(F.col("key")).alias("key"))
+    open_ = cut(route(scans, lows).select("at", F.col("key").alias("low"), F.col("n").alias("need"), F.col("pivot").alias("next"), F.lit(0).alias("have")))
+    found, width = [], 1
+    while open_.limit(1).count():
+        met = open_.withColumn("group", F.explode(F.sequence("next", F.least(F.col("next") + (width - 1), F.lit(last)))))
+        met = met.join(keys, "group").where("key >= low AND since < at")
+        nth = F.row_number().over(Window.partitionBy("at").orderBy("key"))
+        hits = cut(met.withColumn("nth", nth).where("nth <= need").select("at", (F.col("have") + F.col("nth") - 1).cast("int").alias("rank"), "key"))
+        found.append(hits)
+        got = hits.groupBy("at").agg(F.count(F.lit(1)).cast("int").alias("got"))
+        open_ = open_.join(got, "at", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+        open_ = open_.select("at", "low", (F.col("need") - F.col("got")).alias("need"), (F.col("next") + width).alias("next"), (F.col("have") + F.col("got")).alias("have"))
+        open_ = cut(open_.where((F.col("need") > 0) & (F.col("next") <= last)))
+        width *= 2
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    # each hit is a get at its scan's time
+    asked = hits.select("at", F.lit("G").alias("op"), "key", F.lit(None).cast("string").alias("value"), "rank")
+    both = puts.select("at", "op", "key", "value", F.lit(None).cast("int").alias("rank")).unionByName(asked)
+    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.last(F.when(F.col("op") == "P", F.col("value")), ignorenulls=True).over(before)
+    return both.withColumn("value", value).where("op = 'G'").select("at", "rank", "key", "value")
+
+
+def check_scans(script: DataFrame) -> DataFrame:
+    """(at, want, found) of the V lines whose rows are not the expected ones, in order."""
+    rows = answer_scans(script.where("op IN ('P', 'V')")).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("rank", "key", "value"))).alias("rows"))  # n at most
+    pairs = F.transform("rows", lambda r: F.struct(r["key"].alias("key"), r["value"].alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return script.where("op = 'V'").select("at", F.coalesce("want", none).alias("want")).join(rows, "at", "left").select("at", "want", F.coalesce(pairs, none).alias("found")).where("NOT want <=> found")
+
+
 class OrderedModel:
     """put, get, scan and remove over an ordered map; the reference model of tests."""
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, values
 from .model import DELETE, StoreOptions
-from .operators import aggregates, ordered, ranges, read, script
+from .operators import aggregates, ordered, ranges, read, script, sets
 from .plans import fold as folds
 from .plans.store import Store
-from .shared import shared_dir
+from .shared import scratch
 from .sources import edits as src
+from .sources import generators
 from .streaming import ingest
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -73,10 +73,6 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return folds.items(src.order_edits(spark, sf))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- folds
 
 
@@ -219,7 +215,7 @@ def q_payload_get(spark, sf):
 @query(f"SELECT key, op, i32 FROM ({OE}) e WHERE 1 = 1")
 def q_sorted_edits(spark, sf):
     """Edits in key order inside each range of keys."""
-    return src.order_edits(spark, sf).repartitionByRange("key").sortWithinPartitions("key", "seq").select("key", "op", "i32")
+    return ordered.sort_edits(src.order_edits(spark, sf)).select("key", "op", "i32")
 
 
 # --- ranges
@@ -269,9 +265,7 @@ def q_pivot_prune(spark, sf):
 
 @query(f"SELECT key, seq, op, i32 FROM ({OE}) e WHERE key IN ({PROBES})")
 def q_membership(spark, sf):
-    """Absent keys rejected by a hash filter, the rest by the join."""
-    probes = _probes(spark, sf)
-    return ranges.maybe_member(src.order_edits(spark, sf), probes).join(probes.distinct(), "key", "left_semi")
+    return ranges.maybe_member(src.order_edits(spark, sf), _probes(spark, sf))
 
 
 @query(f"SELECT key, seq, op, i32 FROM ({OE}) e WHERE (CAST(('0x' || substr(md5(key), 1, 8)) AS BIGINT) & 7) = 0")
@@ -292,7 +286,7 @@ def q_range_order(spark, sf):
 
 @query(f"SELECT key, value FROM ({CI}) c UNION ALL SELECT key, value FROM ({DI}) d")
 def q_concat_disjoint(spark, sf):
-    return src.customer_items(spark, sf).select("key", "value").unionByName(src.document_items(spark, sf).select("key", "value"))
+    return sets.concat_disjoint(src.customer_items(spark, sf).select("key", "value"), src.document_items(spark, sf).select("key", "value"))
 
 
 @query(f"SELECT key, op, i32, seq FROM ({FOLD}) f WHERE NOT (key >= '{_key(10)}' AND key < '{_key(20)}')")
@@ -303,9 +297,8 @@ def q_range_difference(spark, sf):
 @query(f"SELECT key, CASE WHEN s.skey IS NULL THEN value ELSE s_name END AS value FROM ({CI}) c LEFT JOIN (SELECT {K.format('s_suppkey')} AS skey, s_name FROM supplier) s ON s.skey = c.key UNION ALL SELECT {K.format('s_suppkey')}, s_name FROM supplier WHERE {K.format('s_suppkey')} NOT IN (SELECT key FROM ({CI}) c)")
 def q_replace_all(spark, sf):
     """Suppliers upserted over customers: a batch merged into a set."""
-    base = src.customer_items(spark, sf).select("key", F.lit(0).cast("long").alias("seq"), "value")
-    batch = src.table(spark, sf, "supplier").select(values.user_key(F.col("s_suppkey")).alias("key"), F.lit(1).cast("long").alias("seq"), F.col("s_name").alias("value"))
-    return folds.latest(base.unionByName(batch), ("value",)).select("key", "value")
+    batch = src.table(spark, sf, "supplier").select(values.user_key(F.col("s_suppkey")).alias("key"), F.col("s_name").alias("value"))
+    return sets.replace_all(src.customer_items(spark, sf), batch)
 
 
 @query(f"SELECT * FROM ({ITEMS}) i ORDER BY key LIMIT 120")
@@ -370,7 +363,7 @@ def q_segment_estimate(spark, sf):
     return aggregates.segment_estimate(_pending(spark, sf), 16384, 585)
 
 
-@query(f"SELECT tier, count(DISTINCT key) AS keys, count(*) AS edits, CAST(sum(octet_length(encode(key))) AS BIGINT) AS key_bytes, CAST(count(DISTINCT pivot % 63) AS INT) AS pivots FROM (SELECT key, seq * 3 // (SELECT count(*) FROM orders) AS tier, pivot FROM ({OE}) e JOIN ({ROUTES}) r ON key >= lo AND (hi IS NULL OR key < hi)) t GROUP BY tier")
+@query(f"SELECT tier, count(DISTINCT key) AS keys, count(*) AS edits, CAST(sum(octet_length(encode(key))) AS BIGINT) AS key_bytes, CAST(count(DISTINCT pivot) AS INT) AS pivots FROM (SELECT key, seq * 3 // (SELECT count(*) FROM orders) AS tier, pivot FROM ({OE}) e JOIN ({ROUTES}) r ON key >= lo AND (hi IS NULL OR key < hi)) t GROUP BY tier")
 def q_segment_counts(spark, sf):
     e = src.order_edits(spark, sf)
     return aggregates.level_counts(ranges.route(e.withColumn("tier", F.expr(f"seq * 3 div {max(1, e.count())}")), _pivots(spark, sf)))
@@ -501,7 +494,7 @@ def q_key_hash(spark, sf):
 
 @query(f"SELECT key, md5(key) AS checksum FROM ({CI}) c")
 def q_checksum(spark, sf):
-    return src.customer_items(spark, sf).select("key", F.md5("key").alias("checksum"))
+    return sets.checksums(src.customer_items(spark, sf))
 
 
 @query("SELECT bits, CASE WHEN 18.0 / greatest(bits, 12) <= 0.85 THEN 16 ELSE 8 END AS tag_bits, round(least(0.85, CASE WHEN 18.0 / greatest(bits, 12) <= 0.85 THEN CAST(18.0 AS DOUBLE) / greatest(bits, 12) ELSE CAST(10.2 AS DOUBLE) / greatest(bits, 12) END), 9) AS load FROM (SELECT CAST(n_nationkey + 8 AS INT) AS bits FROM nation) b")
@@ -566,6 +559,23 @@ def q_workload_replay(spark, sf):
     return script.answer_gets(_script(spark, sf)).drop("expected")
 
 
+SCANS = f"SELECT o_orderkey * 2 + 1 AS at, {K.format('(o_custkey * 7 + 3) % 1500')} AS key, CAST(o_orderkey % 37 AS INT) AS n FROM orders WHERE o_orderkey % 50 = 0"
+
+
+def _scan_script(spark, sf):
+    """Orders as puts; every fiftieth is followed by a scan of up to 36 rows."""
+    o = src.table(spark, sf, "orders")
+    puts = o.select((F.col("o_orderkey") * 2).alias("at"), F.concat_ws(" ", F.lit("P"), values.user_key(F.col("o_custkey")), F.floor("o_totalprice").cast("long").cast("string")).alias("value"))
+    scans = o.where("o_orderkey % 50 = 0").select((F.col("o_orderkey") * 2 + 1).alias("at"), F.concat_ws(" ", F.lit("S"), values.user_key((F.col("o_custkey") * 7 + 3) % 1500), (F.col("o_orderkey") % 37).cast("string")).alias("value"))
+    return src.parse_workload(puts.unionByName(scans), at="at")
+
+
+@query(f"WITH p AS (SELECT o_orderkey * 2 AS at, {K.format('o_custkey')} AS key, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS value FROM orders), s AS ({SCANS}), k AS (SELECT s.at, s.n, p.key, max_by(p.value, p.at) AS value FROM s JOIN p ON p.key >= s.key AND p.at < s.at GROUP BY s.at, s.n, p.key), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY at ORDER BY key) - 1 AS INT) AS rank FROM k) SELECT at, rank, key, value FROM r WHERE rank < n")
+def q_workload_scans(spark, sf):
+    """A script of puts and scans: every scan sees the puts before it, in key order."""
+    return script.answer_scans(_scan_script(spark, sf))
+
+
 @query(f"SELECT op, count(*) AS n, count(DISTINCT key) AS keys FROM (SELECT split_part(line, ' ', 1) AS op, split_part(line, ' ', 2) AS key FROM ({SCRIPT}) l) s GROUP BY op")
 def q_workload_parse(spark, sf):
     return _script(spark, sf).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
@@ -590,13 +600,36 @@ def q_result_log(spark, sf):
     return src.parse_results(o.select(line.alias("value")))
 
 
+@query("SELECT c_custkey AS id, substr('_abcdefghijklmnopqrstuvwxyz', CAST((c_custkey + 1) % 27 + 1 AS BIGINT), 1) || substr('_abcdefghijklmnopqrstuvwxyz', CAST((c_custkey + 1) // 27 % 27 + 1 AS BIGINT), 1) || substr('_abcdefghijklmnopqrstuvwxyz', CAST((c_custkey + 1) // 729 % 27 + 1 AS BIGINT), 1) || substr('_abcdefghijklmnopqrstuvwxyz', CAST((c_custkey + 1) // 19683 % 27 + 1 AS BIGINT), 1) || '____' AS value FROM customer")
+def q_generate_values(spark, sf):
+    """The odometer's values of eight places."""
+    return src.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), values.sequential_text(F.col("c_custkey"), 8).alias("value"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS keys, CAST(24 AS INT) AS key_size, CAST(50 AS INT) AS value_size, CAST(1 AS INT) AS letters")
+def q_generate_result_set(spark, sf):
+    """A thousand random items: distinct keys, values of one letter."""
+    g = generators.result_set(spark, 1000, seed=3, value_size=50)
+    letters = F.length(F.regexp_replace("value", r"(.)\1+", "$1"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"), F.max(F.length("key")).alias("key_size"), F.max(F.length("value")).alias("value_size"), F.max(letters).alias("letters"))
+
+
+@query("SELECT replace(o_orderpriority, ' ', '_') AS workload, CAST(o_custkey % 32 AS INT) AS threads, CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) AS kops, CAST(NULL AS DOUBLE) AS latency_us FROM orders")
+def q_result_sink(spark, sf):
+    """Results written as lines and read back."""
+    path = scratch(spark, "results")
+    runs = src.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("workload"), (F.col("o_custkey") % 32).cast("int").alias("threads"), F.floor("o_totalprice").cast("double").alias("kops"), F.lit(None).cast("double").alias("latency_us"))
+    src.write_results(runs, path)
+    return src.parse_results(spark.read.text(path))
+
+
 # --- store and streaming
 
 
-def _filled(spark, sf, chi: int, parts: int = 5, policy: str = "levelled") -> Store:
+def _filled(spark, sf, chi: int, parts: int = 5, policy: str = "levelled", min_flush: int = 64 << 20) -> Store:
     e = src.order_edits(spark, sf)
     n = e.agg(F.max("seq")).first()[0]
-    store = Store.create(spark, _scratch(spark, "store"), StoreOptions(chi=chi, policy=policy))
+    store = Store.create(spark, f"{scratch(spark, 'store')}/s", StoreOptions(chi=chi, policy=policy, min_flush=min_flush))
     for p in range(parts):
         store.append(e.where(F.expr(f"seq * {parts} div {(n or 0) + 1} = {p}")), p)
     return store
@@ -631,22 +664,121 @@ def q_checkpoint_scan(spark, sf):
 @query(f"SELECT key, i32, seq FROM ({ITEMS}) i")
 def q_stream_ingest(spark, sf):
     """Files of edits streamed into a store, two files a batch."""
-    feed = _scratch(spark, "feed")
+    feed = scratch(spark, "feed")
     e = src.order_edits(spark, sf).withColumn("value", F.lit(None).cast("string"))
     n = (e.agg(F.max("seq")).first()[0] or 0) + 1
     for p in range(4):  # in order: a file's edits are newer than those of the files before
         e.where(F.expr(f"seq * 4 div {n} = {p}")).coalesce(1).write.mode("append").parquet(feed)
-    store = Store.create(spark, _scratch(spark, "streamed"), StoreOptions(chi=2))
-    ingest.ingest(ingest.edit_stream(spark, feed, files_per_trigger=1), store, _scratch(spark, "offsets")).awaitTermination()
+    store = Store.create(spark, f"{scratch(spark, 'streamed')}/s", StoreOptions(chi=2))
+    ingest.ingest(ingest.edit_stream(spark, feed, files_per_trigger=1), store, scratch(spark, "offsets")).awaitTermination()
     return Store.open(spark, store.path).items().select("key", "i32", "seq")
 
 
+@query(f"SELECT key, i32, seq FROM ({ITEMS}) i")
+def q_store_flush_range(spark, sf):
+    """A snapshot of two batches; the fullest ranges of the later three move down one by one, the last ones stay deltas."""
+    e = src.order_edits(spark, sf)
+    n = (e.agg(F.max("seq")).first()[0] or 0) + 1
+    store = Store.create(spark, f"{scratch(spark, 'store')}/s", StoreOptions(chi=100, policy="tiered", max_records_per_file=max(1, n // 20)))
+    for p in range(5):
+        store.append(e.where(F.expr(f"seq * 5 div {n} = {p}")), p)
+        if p == 1:
+            store.force_checkpoint()
+    store.flush_fullest()
+    store.flush_fullest()
+    return Store.open(spark, store.path).items().select("key", "i32", "seq")
+
+
+@query(f"SELECT key, i32, seq FROM ({ITEMS}) i")
+def q_store_pivot_policy(spark, sf):
+    """Batches through a store that moves a range down as soon as enough of its bytes wait."""
+    return _filled(spark, sf, 4, parts=3, policy="pivot", min_flush=2000).items().select("key", "i32", "seq")
+
+
+FEW = f"SELECT {K.format('s_suppkey')} AS key, s_name AS value, s_suppkey AS n FROM supplier WHERE s_suppkey < 100"
+
+
+def _put_few(spark, sf, chi: int = 2) -> Store:
+    """Suppliers below 100 put one by one, in two batches; each fifth removed, each third put again."""
+    rows = src.table(spark, sf, "supplier").where("s_suppkey < 100").select(values.user_key(F.col("s_suppkey")).alias("key"), "s_name", "s_suppkey").orderBy("s_suppkey").collect()
+    store = Store.create(spark, f"{scratch(spark, 'store')}/s", StoreOptions(chi=chi))
+    for r in rows:
+        store.put(r.key, r.s_name)
+    store.flush()
+    for r in rows:
+        if r.s_suppkey % 5 == 0:
+            store.remove(r.key)
+        elif r.s_suppkey % 3 == 0:
+            store.put(r.key, "again")
+    store.flush()
+    return store
+
+
+PUT = f"SELECT key, CASE WHEN n % 3 = 0 THEN 'again' ELSE value END AS value FROM ({FEW}) f WHERE n % 5 <> 0"
+
+
+@query(PUT)
+def q_store_put_remove(spark, sf):
+    """Puts and removes through the store's own calls."""
+    return _put_few(spark, sf).items().select("key", "value")
+
+
+@query(f"SELECT key, value FROM ({PUT}) p WHERE key = '{_key(7)}'")
+def q_store_get(spark, sf):
+    r = _put_few(spark, sf).get(_key(7))
+    return spark.createDataFrame([(r.key, r.value)] if r else [], "key string, value string")
+
+
+@query(f"SELECT key, value FROM ({PUT}) p WHERE key IN ({PROBES})")
+def q_store_multi_get(spark, sf):
+    return _put_few(spark, sf).multi_get(_probes(spark, sf)).select("key", "value")
+
+
+@query(f"SELECT key, value, CAST(2 AS BIGINT) AS batches, CAST(1 AS BIGINT) AS checkpoints FROM ({PUT}) p")
+def q_store_set_chi(spark, sf):
+    """Two batches wait with chi 100; chi 1 takes effect at once, so the snapshot alone has all items."""
+    store = _put_few(spark, sf, chi=100)
+    store.set_chi(1)
+    m = store.metrics()
+    return store.checkpoint_items().select("key", "value", F.lit(m["batches"]).cast("long").alias("batches"), F.lit(m["checkpoints"]).cast("long").alias("checkpoints"))
+
+
 @query("SELECT CAST(5 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS checkpoints, CAST(1 AS BIGINT) AS deltas, CAST(4 AS BIGINT) AS upper")
 def q_store_metrics(spark, sf):
     m = _filled(spark, sf, 2).metrics()
     return spark.createDataFrame([tuple(m[k] for k in ("batches", "checkpoints", "deltas", "upper"))], "batches bigint, checkpoints bigint, deltas bigint, upper bigint")
 
 
+def _streamed(spark, sf, name: str, build, columns: list[str]) -> DataFrame:
+    """What a streaming query over a table's rows, as Parquet files in the shared folder, has written when it ends."""
+    feed, out = scratch(spark, "feed"), f"{scratch(spark, 'live')}/rows"
+    rows = src.table(spark, sf, name).select(*columns)
+    rows.repartition(3).write.mode("append").parquet(feed)
+    stream = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"SELECT key, max_by(op, seq) AS op, max_by(i32, seq) AS i32, max(seq) AS seq FROM ({OE}) e GROUP BY key")
+def q_live_latest(spark, sf):
+    """The newest edit of each key as streaming state, whatever the order of the files."""
+    return _streamed(spark, sf, "orders", lambda o: ingest.live_latest(src.as_order_edits(o)), ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query(f"SELECT key, CAST(sum(i32) AS BIGINT) AS i32 FROM ({OE}) e WHERE op = 3 GROUP BY key")
+def q_add_counters(spark, sf):
+    """Sums of the adds of each key as streaming state."""
+    return _streamed(spark, sf, "orders", lambda o: ingest.add_counters(src.as_order_edits(o)), ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def q_windowed_counts(spark, sf):
+    """Events by hour and type, in windows that close behind a watermark of 3,650 days, so that none is late."""
+    counts = lambda e: ingest.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", late="3650 days")
+    return _streamed(spark, sf, "events", counts, ["ts", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in REGISTRY.items()}
 

@@ -1,16 +1,39 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what is kept there."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; our own only where the session names none (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
+    """The shared folder, as the session names it; our own only in local mode (tests)."""
+    if not (place := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="foldlake-")
+        atexit.register(shutil.rmtree, place, True)
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
     return place
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder; what is put there is deleted when the session's file systems close."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return at.toString()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, with its lineage cut. Spark deletes it once nothing refers to it
+    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,4 +1,4 @@
-"""Edit logs from tables, workload scripts, byte windows and result logs."""
+"""Edit logs from tables, workload scripts, byte windows and result logs, which are written as well."""
 
 from __future__ import annotations
 
@@ -18,8 +18,13 @@ def _whole(c: str) -> Column:
 
 def order_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as edits of their customers: status F writes, O adds, others delete."""
+    return as_order_edits(table(spark, sf_dir, "orders"))
+
+
+def as_order_edits(orders: DataFrame) -> DataFrame:
+    """The same for a table or a stream of orders."""
     op = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).otherwise(0)
-    return table(spark, sf_dir, "orders").select(user_key(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("seq"), op.alias("op"), _whole("o_totalprice").alias("i32"))
+    return orders.select(user_key(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("seq"), op.alias("op"), _whole("o_totalprice").alias("i32"))
 
 
 def event_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,17 @@ def byte_windows(blobs: DataFrame, text: str, key_size: int = 24, value_size: in
     """Sliding windows over each text: key and value both begin at every ``step``-th place with room for both."""
     ends = F.length(text) - F.lit(max(key_size, value_size))
     at = F.when(ends >= 0, F.sequence(F.lit(0), ends, F.lit(step)))
-    return blobs.select("*", F.explode(at).alias("at")).withColumns({"key": F.substring(text, F.col("at") + 1, F.lit(key_size)), "value": F.substring(text, F.col("at") + 1, F.lit(value_size))})
+    # four bytes a character: a window is found by its place, where a text in UTF-8 would be walked from its start
+    wide = blobs.withColumn("__wide", F.encode(F.col(text), "UTF-32"))
+    part = lambda n: F.decode(F.substring("__wide", F.col("at") * 4 + 1, F.lit(4 * n)), "UTF-32")
+    return wide.select("*", F.explode(at).alias("at")).withColumns({"key": part(key_size), "value": part(value_size)}).drop("__wide")
+
+
+def write_results(runs: DataFrame, path: str) -> None:
+    """Rows of results as lines of 'name=value' fields, which ``parse_results`` reads back; nulls are left out. Further
+    files are added to those in ``path``."""
+    parts = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}="), F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\s", "_"))) for c in runs.columns]
+    runs.select(F.concat_ws(" ", F.lit("[out]"), *parts).alias("value")).write.mode("append").text(path)
 
 
 def parse_results(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -15,9 +15,13 @@ from ..model import EDIT_SCHEMA
 from ..plans.store import Store
 
 
-def edit_stream(spark: SparkSession, path: str, schema: StructType = EDIT_SCHEMA, files_per_trigger: int = 16) -> DataFrame:
-    """Edits from Parquet files as they come; a trigger takes so many files at most, which is the back-pressure."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def edit_stream(spark: SparkSession, path: str, schema: StructType = EDIT_SCHEMA, files_per_trigger: int | None = 16, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Edits from Parquet files as they come. A trigger takes so many files, or files of so many bytes, at most,
+    which closes a batch and is the back-pressure; give one of the two."""
+    if (files_per_trigger is None) == (bytes_per_trigger is None):
+        raise ValueError("give files_per_trigger or bytes_per_trigger")
+    limit = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
