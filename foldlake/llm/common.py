@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, scratch, shared_dir  # noqa: F401
+
 #: Python kernels take at most this many rows, and about this many characters, at once.
 ROWS, CHARS = 512, 2_000_000
 
@@ -70,34 +67,6 @@ def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it; our own only in local mode (tests)."""
-    if not (place := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="foldlake-")
-        atexit.register(shutil.rmtree, place, True)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it is deleted when the session's file systems close."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return at.toString()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut. Spark deletes it once nothing refers to it
-    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Rounds:
     """Tables of an iteration, written to the shared folder; all but the last two are deleted again.
 
