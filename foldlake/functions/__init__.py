@@ -1,3 +1,3 @@
 """Scalar functions over columns."""
 
-from . import numbers, values  # noqa: F401
+from . import hashes, numbers, values  # noqa: F401

@@ -88,10 +88,6 @@ def separator(a: str, b: str) -> Column:
     return F.expr(f"substring({b}, 1, {common_prefix(a, b)} + 1)")
 
 
-def key_hash(key: Column) -> Column:
-    return F.xxhash64(key)
-
-
 def in_hash_mask(key: Column, mask: int, want: int = 0) -> Column:
     """Keys whose MD5's first 32 bits fit the mask: a sample that is the same for every table."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(mask)) == want

@@ -1,3 +1,3 @@
-"""Operators over edit and item tables: reads, ranges, aggregates, ordered sequences, sets, scripts."""
+"""Operators over edit and item tables: reads, ranges, aggregates, ordered sequences, sets, sketches, scripts."""
 
-from . import aggregates, ordered, ranges, read, script, sets  # noqa: F401
+from . import aggregates, ordered, ranges, read, script, sets, sketch  # noqa: F401

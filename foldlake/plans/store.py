@@ -23,6 +23,7 @@ import uuid
 from dataclasses import asdict, replace
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,6 +279,16 @@ class Store:
         """Snapshot and deltas as one log."""
         return union_tiers(self.checkpoint_items(), *(self._delta(d) for d in self._state["deltas"]))
 
+    def level(self, k: int, low: str = "", high: str | None = None) -> DataFrame:
+        """The edits of one level of deltas in a range of keys, without what has moved down."""
+        found = [self._delta(d) for d in self._state["deltas"] if d["level"] == k]
+        log = union_tiers(*found) if found else self.spark.createDataFrame([], EDIT_SCHEMA)
+        return log.where((F.col("key") >= low) & (F.lit(True) if high is None else F.col("key") < high))
+
+    def cache(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+        """The items of this state, kept by the executors until ``unpersist()``; spark.memory.* bounds them."""
+        return self.items().persist(level)
+
     def winners(self) -> DataFrame:
         """The fold of each key, deletes and open adds shown."""
         return fold(self.edits()) if self._state["deltas"] else self.checkpoint_items()

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import numbers, values
+from .functions import hashes, numbers, values
 from .model import DELETE, StoreOptions
-from .operators import aggregates, ordered, ranges, read, script, sets
+from .operators import aggregates, ordered, ranges, read, script, sets, sketch
 from .plans import fold as folds
 from .plans.store import Store
 from .shared import scratch
@@ -488,8 +488,19 @@ def q_separator(spark, sf):
 
 @query()
 def q_key_hash(spark, sf):
-    """64-bit hashes of the keys; only their spread matters, so there is no SQL twin."""
-    return src.order_edits(spark, sf).select("key").distinct().select("key", values.key_hash(F.col("key")).alias("h"))
+    """64-bit hashes of the keys, for indexes and for filters; without SQL, tested against another XXH64."""
+    return src.order_edits(spark, sf).select("key").distinct().select("key", hashes.index_hash(F.col("key")).alias("h"), hashes.filter_hash(F.col("key")).alias("filter"))
+
+
+@query(f"SELECT count(*) AS asked, count(*) FILTER (c % 2 = 0) AS present, CAST(0 AS BIGINT) AS missed, true AS few_false FROM (SELECT DISTINCT o_custkey AS c FROM orders) o")
+def q_membership_sketch(spark, sf):
+    """Keys of even customers in a sketch, which is asked for all: none of them is missed, under 3 % of the others pass."""
+    even = src.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(values.user_key(F.col("c_custkey")).alias("key"))
+    asked = src.table(spark, sf, "orders").select("o_custkey").distinct().select("o_custkey", values.user_key(F.col("o_custkey")).alias("key"))
+    passed = sketch.membership_sketch(even).may_contain(asked).select("o_custkey", F.lit(True).alias("passed"))
+    is_in, hit = F.col("o_custkey") % 2 == 0, F.coalesce("passed", F.lit(False))
+    counts = asked.join(passed, "o_custkey", "left").agg(F.count(F.lit(1)).alias("asked"), F.count_if(is_in).alias("present"), F.count_if(is_in & ~hit).alias("missed"), F.count_if(~is_in & hit).alias("false"))
+    return counts.select("asked", "present", "missed", (F.col("false") <= 0.03 * (F.col("asked") - F.col("present"))).alias("few_false"))
 
 
 @query(f"SELECT key, md5(key) AS checksum FROM ({CI}) c")
@@ -717,6 +728,14 @@ def _put_few(spark, sf, chi: int = 2) -> Store:
 PUT = f"SELECT key, CASE WHEN n % 3 = 0 THEN 'again' ELSE value END AS value FROM ({FEW}) f WHERE n % 5 <> 0"
 
 
+@query(f"SELECT key, op, i32, seq, CAST(1 AS INT) AS level FROM ({fold_sql(f'SELECT * FROM ({OE}) e WHERE seq * 3 // (SELECT max(o_orderkey) + 1 FROM orders) < 2')}) f UNION ALL SELECT key, op, i32, seq, CAST(0 AS INT) FROM ({fold_sql(f'SELECT * FROM ({OE}) e WHERE seq * 3 // (SELECT max(o_orderkey) + 1 FROM orders) = 2')}) g")
+def q_store_levels(spark, sf):
+    """Three batches merged as a binary counter carries: the first two on level 1, the third on level 0, each read alone."""
+    store = _filled(spark, sf, 100, parts=3)
+    level = lambda k: store.level(k).select("key", "op", "i32", "seq", F.lit(k).alias("level"))
+    return level(1).unionByName(level(0))
+
+
 @query(PUT)
 def q_store_put_remove(spark, sf):
     """Puts and removes through the store's own calls."""

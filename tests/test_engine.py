@@ -5,9 +5,9 @@ from functools import reduce
 
 import pytest
 
-from foldlake.functions import numbers, values
+from foldlake.functions import hashes, numbers, values
 from foldlake.model import EDIT_SCHEMA, StoreOptions, TreeOptions
-from foldlake.operators import ordered, ranges, read, script
+from foldlake.operators import ordered, ranges, read, script, sketch
 from foldlake.plans import fold as folds
 from foldlake.plans.store import Store
 from foldlake.sources import edits as src
@@ -289,6 +289,36 @@ def test_windows_of_wide_characters(spark):
     assert sorted((r.at, r.key, r.value) for r in got) == [(i, text[i : i + 24], text[i : i + 100]) for i in range(len(text) - 99)]
 
 
+def test_hashes_against_another_xxh64(spark):
+    import xxhash
+
+    keys = ["", "a", "user00000000000000000042", "é" * 50, "x" * 1000]
+    for seed in (0, 42, hashes.FILTER_SEED, 2**64 - 1):
+        rows = spark.createDataFrame([(k,) for k in keys], "key string").select("key", hashes.xxh64(F.col("key"), seed).alias("h")).collect()
+        assert all(r.h % 2**64 == xxhash.xxh64(r.key.encode(), seed=seed).intdigest() for r in rows)
+    assert all(r.h & 1 for r in spark.range(50).select(hashes.index_hash(F.col("id").cast("string")).alias("h")).collect())
+
+
+@pytest.mark.parametrize("broadcast", [8192, 0])
+def test_sketch_misses_none(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sketch, "BROADCAST_BLOCKS", broadcast)
+    every = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "id")
+    passed = {r.id for r in sketch.membership_sketch(every.where("id % 4 = 0")).may_contain(every).collect()}
+    assert set(range(0, 20_000, 4)) <= passed and len(passed) < 5000 + 0.02 * 15_000
+    assert sketch.membership_sketch(every.where("false")).may_contain(every).collect() == []
+
+
+def test_store_levels_and_cache(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"), StoreOptions(chi=100))
+    for n in range(3):
+        store.append(spark.createDataFrame([(f"k{n}", n, 2, n), ("all", n, 3, 1)], COLUMNS))
+    assert folded(store.level(1)) == {"k0": (2, 0), "k1": (2, 1), "all": (3, 2)}
+    assert folded(store.level(0, "b")) == {"k2": (2, 2)} and store.level(5).collect() == []
+    kept = store.cache()
+    assert kept.is_cached and folded(kept) == {"k0": (2, 0), "k1": (2, 1), "k2": (2, 2), "all": (3, 3)}
+    kept.unpersist()
+
+
 def test_cursor_pages(spark):
     items = spark.createDataFrame([(f"k{i:02}", i) for i in range(25)], "key string, v int")
     c = read.Cursor(items, "k03", page=4)
