@@ -6,13 +6,21 @@ file's records, ranges of FANOUT entries in offset order are hashed to a node, r
 the root. Two replicas are compared root against root; where roots differ, only the mismatching nodes of each level are
 opened, down to the records that are damaged. Levels shrink by FANOUT, and the depth follows FILE_RECORDS, not the corpus.
 
+``audit_replicas`` takes two inventories as they are, ``warc_records`` reads the records of files in their bytes.
+
 Defined cases: null html or url counts as ''. Rows that repeat a whole record are one record with a count of copies. A
 record that a replica lacks (a null leaf) hashes as MISSING there, in the tree and in the comparison; one that both lack
-is no damage. Empty tables give no rows.
+is no damage. Empty tables give no rows. Records are hashed whole, whatever their length. Other columns of pages are not
+read. A file that cannot be read on gives its records up to there and a row with the reason in ``error``; a null or empty
+file has no records.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +73,62 @@ def audit(leaves: DataFrame) -> DataFrame:
     return leaves.join(roots, "file").join(bad, ["file", "idx"], "left").select(*names, "root_a", "root_b", (F.col("root_a") == F.col("root_b")).alias("root_ok"), F.col("bad").isNull().alias("ok"))
 
 
+def audit_replicas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two inventories (record, digest) of one archive -> record, a, b, root_ok, ok for the records of either.
+
+    Records that an inventory repeats with different digests are compared one by one, in the order of the digests."""
+    nth = F.row_number().over(Window.partitionBy("record").orderBy("digest"))
+    one = lambda df, name: df.select("record", "digest").distinct().withColumn("nth", nth).withColumnRenamed("digest", name)
+    both = cut(one(a, "a").join(one(b, "b"), ["record", "nth"], "full"))
+    files = max(1, -(-both.count() // FILE_RECORDS))
+    name = F.md5(F.coalesce(F.col("record").cast("string"), F.lit("")))
+    file = F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % files
+    idx = F.row_number().over(Window.partitionBy("file").orderBy("record", "nth")).cast("long") - 1
+    return audit(cut(both.withColumn("file", file).withColumn("idx", idx))).select("record", "a", "b", "root_ok", "ok")
+
+
+RECORDS = "idx bigint, offset bigint, length bigint, type string, uri string, digest string, body binary, error string"
+
+
+def read_records(blob: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, one by one; the last one bears the error if the file breaks off or is no WARC."""
+    at = n = 0
+    while at < len(blob):
+        head = blob.find(b"\r\n\r\n", at)
+        lines = blob[at:head].decode("utf-8", "replace").split("\r\n") if head >= 0 else [""]
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size = fields.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not size.isascii() or not size.isdigit():
+            yield {"idx": n, "offset": at, "error": "no record's head"}
+            return
+        body = head + 4
+        end = body + int(size)
+        if blob[end : end + 4] != b"\r\n\r\n":
+            yield {"idx": n, "offset": at, "error": f"no end of record behind {size} bytes"}
+            return
+        yield {"idx": n, "offset": at, "length": end + 4 - at, "type": fields.get("warc-type"), "uri": fields.get("warc-target-uri"), "digest": hashlib.sha256(blob[at : end + 4]).hexdigest(), "body": blob[body:end]}
+        at, n = end + 4, n + 1
+
+
+def warc_records(df: DataFrame, key: str, blob: str) -> DataFrame:
+    """One row for each record in each value of the binary column ``blob``, with ``key``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    fields = _parse_datatype_string(RECORDS)
+    picked = df.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{blob}`").cast("binary").alias("blob_"))
+    schema = StructType([picked.schema[0], *fields.fields])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in read_records(batch.column(1)[i].as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).cast(out.types[0]), *(pa.array([row.get(n)], t) for n, t in zip(fields.names, out.types[1:]))], out.names)
+
+    return picked.mapInArrow(run, schema).withColumnRenamed("key_", key + "_" * (key in fields.names))
+
+
 def replicas(pages: DataFrame) -> DataFrame:
     """Each record with its length and its digests in both replicas; the second one has rotten bytes (see ROT)."""
     rotten = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, len(ROT)) == ROT
