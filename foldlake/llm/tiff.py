@@ -94,81 +94,79 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Width of the k-th code (from 0) behind a clear, one code early; those behind the last stay at 12.
+_WIDTHS = np.searchsorted([512, 1024, 2048], 258 + np.arange(4096), side="right") + 9
+_FULL = 4094
+_BITS = np.arange(11, -1, -1)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, one code early; clears when the table is full."""
-    codes = {bytes([i]): i for i in range(256)}
-    table_, nxt, width = dict(codes), 258, 9
-    acc, bits, out, w = 256, 9, bytearray(), b""
-
-    def flush() -> None:
-        nonlocal acc, bits
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table_:
-            w += c
-            continue
-        acc, bits = acc << width | table_[w], bits + width
-        flush()
-        table_[w + c] = nxt
-        nxt += 1
-        if nxt == 4094:
-            acc, bits = acc << 12 | 256, bits + 12
-            flush()
-            table_, nxt, width = dict(codes), 258, 9
-        elif nxt > (1 << width) - 1:
-            width += 1
-        w = c
-    if w:
-        acc, bits = acc << width | table_[w], bits + width
-        flush()
-        nxt += 1
-        if nxt > (1 << width) - 1 and width < 12:
-            width += 1
-    acc, bits = acc << width | 257, bits + width
-    flush()
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    codes, clears = [256], [0]
+    if data:
+        known: dict[int, int] = {}  # code of a word << 8 | next byte -> code of both
+        nxt, get, put = 258, known.get, codes.append
+        w = data[0]
+        for c in memoryview(data)[1:]:
+            key = w << 8 | c
+            n = get(key)
+            if n is not None:
+                w = n
+                continue
+            put(w)
+            w, known[key] = c, nxt
+            nxt += 1
+            if nxt == _FULL:
+                clears.append(len(codes))
+                put(256)
+                known.clear()
+                nxt = 258
+        put(w)
+    codes.append(257)
+    all_, place = np.array(codes), np.arange(len(codes))
+    since = place - np.array(clears)[np.searchsorted(clears, place) - 1]  # of each code, since the clear in front of it
+    widths = np.where(place == 0, 9, _WIDTHS[np.maximum(since - 1, 0)])
+    bits = (all_[:, None] >> _BITS & 1).astype(np.uint8)
+    return np.packbits(bits[_BITS < widths[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, need: int = LARGEST) -> bytes:
-    """The first ``need`` bytes, or a few more; all if there are fewer."""
-    made = 0
+    """The first ``need`` bytes; all if there are fewer."""
+    raw = np.frombuffer(bytes(data) + b"\0\0", np.uint8).astype(np.int64)
+    triples = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    words, width, acc, bits, out, last = list(base), 9, 0, 0, [], b""
-    for byte in data:
-        acc, bits = acc << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == 257:
+    words, at, since, out, made, last = list(base), 0, 0, [], 0, b""
+    while made < need and at < 8 * len(data):
+        widths = _WIDTHS[np.minimum(np.arange(since, since + 1024), 4095)]
+        places = at + np.cumsum(widths) - widths
+        places = places[places + widths <= 8 * len(data)]
+        if not len(places):
             break
-        if code == 256:
-            words, width, last = list(base), 9, b""
+        widths = widths[: len(places)]
+        codes = triples[places >> 3] >> (24 - widths - (places & 7)) & ((1 << widths) - 1)
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        n = len(words)
+        for code in codes[:stop].tolist():
+            if code < n:
+                word = words[code]
+            elif code == n and last:
+                word = last + last[:1]
+            else:
+                raise TiffError(f"LZW code {code} of {n}")
+            out.append(word)
+            made += len(word)
+            if last and n < 4096:
+                words.append(last + word[:1])
+                n += 1
+            last = word
+        if not len(marks):
+            at, since = int(places[-1] + widths[-1]), since + len(codes)
             continue
-        if code < len(words):
-            word = words[code]
-        elif code == len(words) and last:
-            word = last + last[:1]
-        else:
-            raise TiffError(f"LZW code {code} of {len(words)}")
-        out.append(word)
-        made += len(word)
-        if made >= need:
+        if codes[stop] == 257:
             break
-        if last and len(words) < 4096:
-            words.append(last + word[:1])
-        last = word
-        if len(words) + 1 >= 1 << width and width < 12:
-            width += 1
-    return b"".join(out)
+        at, since, words, last = int(places[stop] + widths[stop]), 0, list(base), b""
+    return b"".join(out)[:need]
 
 
 def decode(data: bytes, compression: int, need: int) -> bytes:
