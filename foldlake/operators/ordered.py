@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.values import separator
 from ..shared import cut
 
+#: Groups are split at so many values of their order.
+CHUNK = 1 << 22
 #: Ranges of keys for so many rows each, within these limits; keys of a sample for each range.
 RANGE_ROWS, RANGES, SAMPLE = 250_000, (8, 8192), 32
 
@@ -78,9 +81,34 @@ def split_point(df: DataFrame, size: Column) -> DataFrame:
     return runs.join(F.broadcast(half), how="cross").agg(F.min_by("key", F.struct(gap, "key")).alias("key"))
 
 
-def revisions(edits: DataFrame) -> DataFrame:
+def _parted(df: DataFrame, order: str, chunk: int) -> DataFrame:
+    return df.withColumn("__part", F.floor(F.col(order) / chunk).cast("long"))
+
+
+def carried(df: DataFrame, by: str, order: str, inside: Column, summary: Column, over_parts: Callable[[Column], Column], chunk: int = CHUNK) -> DataFrame:
+    """``df`` with __inside and __carry, for a computation along ``order`` in each group of ``by`` that is split.
+
+    Groups fall into parts of ``chunk`` values of ``order``. ``inside`` is a window function, computed within each part;
+    ``summary`` is an aggregate of a part, and ``over_parts`` makes of it what all parts before hand on, over a window of
+    the group's parts. So a group with very many rows is many tasks' work; parts are as many as its rows / ``chunk``.
+    """
+    parted = _parted(df, order, chunk)
+    ends = parted.groupBy(by, "__part").agg(summary.alias("__end"))
+    handed = ends.select(by, "__part", over_parts(F.col("__end")).over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    return parted.withColumn("__inside", inside.over(Window.partitionBy(by, "__part").orderBy(order))).join(handed, [by, "__part"]).drop("__part")
+
+
+def before(df: DataFrame, by: str, order: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """``df`` with __before: a struct of ``columns`` of the row in front in each group of ``by``, null for the first."""
+    row = F.struct(*columns)
+    both = carried(df, by, order, F.lag(row), F.max_by(row, order), lambda end: F.last(end), chunk)
+    return both.withColumn("__before", F.coalesce("__inside", "__carry")).drop("__inside", "__carry")
+
+
+def revisions(edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``edits`` with the number of each within its key, from 0."""
-    return edits.withColumn("revision", (F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1).cast("long"))
+    both = carried(edits, "key", "seq", F.row_number(), F.count(F.lit(1)), lambda end: F.sum(end), chunk)
+    return both.withColumn("revision", F.col("__inside").cast("long") - 1 + F.coalesce("__carry", F.lit(0))).drop("__inside", "__carry")
 
 
 def separators(items: DataFrame, step: int = 16, by: str | None = None) -> DataFrame:
@@ -91,11 +119,10 @@ def separators(items: DataFrame, step: int = 16, by: str | None = None) -> DataF
     return high.join(prev, "rn").select("rn", separator("lo", "hi").alias("separator"))
 
 
-def rates(points: DataFrame, by: str, time: str, ops: str) -> DataFrame:
+def rates(points: DataFrame, by: str, time: str, ops: str, chunk: int = CHUNK) -> DataFrame:
     """Ops per second since the point before in each series."""
-    w = Window.partitionBy(by).orderBy(time)
-    span = F.greatest(F.col(time) - F.lag(time).over(w), F.lit(1e-10))
-    return points.withColumn("rate", (F.col(ops) - F.lag(ops).over(w)) / span)
+    span = F.greatest(F.col(time) - F.col(f"__before.{time}"), F.lit(1e-10))
+    return before(points, by, time, [time, ops], chunk).withColumn("rate", (F.col(ops) - F.col(f"__before.{ops}")) / span).drop("__before")
 
 
 def newest_of_runs(edits: DataFrame) -> DataFrame:
@@ -108,10 +135,9 @@ def sort_edits(edits: DataFrame) -> DataFrame:
     return edits.repartitionByRange("key").sortWithinPartitions("key", "seq")
 
 
-def out_of_order(df: DataFrame, by: str, order: str) -> DataFrame:
+def out_of_order(df: DataFrame, by: str, order: str, chunk: int = CHUNK) -> DataFrame:
     """(by, n): places in each partition where a key is smaller than the one before; none means sorted."""
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("down", F.lag("key").over(w) > F.col("key")).groupBy(by).agg(F.count_if("down").alias("n"))
+    return before(df, by, order, ["key"], chunk).groupBy(by).agg(F.count_if(F.col("__before.key") > F.col("key")).alias("n"))
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:

@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
-from .ordered import running_total
+from .ordered import CHUNK, carried, running_total
 from .ranges import route
 
 #: Keys that a scan looks at together.
 GROUP = 256
 
 
-def answer_gets(script: DataFrame) -> DataFrame:
-    """(at, key, value) for each G or T line: the value last put before it, null if none; keys run in parallel."""
-    w = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op") == "P", F.col("value")), ignorenulls=True).over(w)
-    return script.where("op IN ('P', 'G', 'T')").select("at", "op", "key", last.alias("found"), F.col("value").alias("expected")).where("op <> 'P'").select("at", "op", "key", "found", "expected")
+def _last_put(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``lines`` with ``found``: the value last put to the key in front of each; hot keys are split."""
+    put = F.when(F.col("op") == "P", F.col("value"))
+    # a part's own row counts as well, but only answers are looked at, and they put nothing
+    both = carried(lines, "key", "at", F.last(put, ignorenulls=True), F.max_by(put, F.when(F.col("op") == "P", F.col("at"))), lambda end: F.last(end, ignorenulls=True), chunk)
+    return both.withColumn("found", F.coalesce("__inside", "__carry")).drop("__inside", "__carry")
+
+
+def answer_gets(script: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(at, op, key, found, expected) for each G or T line: the value last put before it, null if none."""
+    lines = script.where("op IN ('P', 'G', 'T')").select("at", "op", "key", "value")
+    return _last_put(lines, chunk).where("op <> 'P'").select("at", "op", "key", "found", F.col("value").alias("expected"))
 
 
 def check_gets(script: DataFrame) -> DataFrame:
@@ -63,9 +70,7 @@ def answer_scans(script: DataFrame, group: int = GROUP) -> DataFrame:
     # each hit is a get at its scan's time
     asked = hits.select("at", F.lit("G").alias("op"), "key", F.lit(None).cast("string").alias("value"), "rank")
     both = puts.select("at", "op", "key", "value", F.lit(None).cast("int").alias("rank")).unionByName(asked)
-    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    value = F.last(F.when(F.col("op") == "P", F.col("value")), ignorenulls=True).over(before)
-    return both.withColumn("value", value).where("op = 'G'").select("at", "rank", "key", "value")
+    return _last_put(both).where("op = 'G'").select("at", "rank", "key", F.col("found").alias("value"))
 
 
 def check_scans(script: DataFrame) -> DataFrame:

@@ -289,6 +289,30 @@ def test_windows_of_wide_characters(spark):
     assert sorted((r.at, r.key, r.value) for r in got) == [(i, text[i : i + 24], text[i : i + 100]) for i in range(len(text) - 99)]
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 22])
+def test_groups_split_in_chunks(spark, chunk):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", "b"]), i, f"v{r.randrange(9)}", r.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, seq bigint, key string, n int")
+    by: dict = {}
+    for g, i, k, n in rows:
+        by.setdefault(g, []).append((i, k, n))
+    assert {x.g: x.n for x in ordered.out_of_order(df, "g", "seq", chunk).collect()} == {g: sum(b[1] < a[1] for a, b in zip(v, v[1:])) for g, v in by.items()}
+    numbered = ordered.revisions(df.select(F.col("g").alias("key"), "seq"), chunk).collect()
+    assert all(by[x.key][x.revision][0] == x.seq for x in numbered) and len(numbered) == 300
+    rates = {(x.g, x.seq): x.rate for x in ordered.rates(df, "g", "seq", "n", chunk).collect()}
+    assert all(rates[g, v[0][0]] is None and all(rates[g, b[0]] == (b[2] - a[2]) / (b[0] - a[0]) for a, b in zip(v, v[1:])) for g, v in by.items())
+    lines = [(i, "G" if i % 3 else "P", g, k if i % 3 == 0 else None) for g, i, k, _ in rows]
+    last: dict = {}
+    want = {}
+    for i, op, g, k in lines:
+        if op == "P":
+            last[g] = k
+        else:
+            want[i] = last.get(g)
+    assert {x.at: x.found for x in script.answer_gets(spark.createDataFrame(lines, "at bigint, op string, key string, value string"), chunk).collect()} == want
+
+
 def test_hashes_against_another_xxh64(spark):
     import xxhash
 
