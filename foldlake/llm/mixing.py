@@ -9,7 +9,7 @@ t each source is less than one block from w * t, while it lasts; slots of a sour
 The schedule repeats each period, so it is worked out once for A slots and joined to the blocks; it has as many rows as
 the resolution (or the number of sources, if that is larger), whatever the corpus, and is broadcast up to SMALL rows, by a
 count. Its fold takes A steps over all sources in one task: it is meant for up to some thousands of sources. Ranks within
-a source come from counts of (id, salt) summed in 65,536 ranges of the hash: no source, however large, is sorted in one
+a source come from counts of (id, salt) summed in 4,096 ranges of the hash: no source, however large, is sorted in one
 task, and rows that share an id, or have none, are spread by a hash of their other columns.
 
 Defined cases: a null source counts as the source ''; rows that repeat a doc_id are ranked in any order among
@@ -65,7 +65,7 @@ def ranked(docs: DataFrame) -> DataFrame:
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
     src, order = F.coalesce(F.col("source").cast("string"), F.lit("")), F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(src.alias("src"), order.alias("order"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int").alias("salt"), F.struct("*").alias("row"))
-    keys = rows.groupBy("src", "order", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.substring("order", 1, 2))
+    keys = rows.groupBy("src", "order", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.substring(F.hex("order"), 1, 3))
     sizes = keys.groupBy("src", "bucket").agg(F.sum("n").alias("size"))
     ahead = sizes.select("src", "bucket", (F.sum("size").over(Window.partitionBy("src").orderBy("bucket")) - F.col("size")).alias("ahead"))
     inside = F.sum("n").over(Window.partitionBy("src", "bucket").orderBy("order", "salt")) - F.col("n")
