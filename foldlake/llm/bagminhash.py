@@ -10,7 +10,8 @@ the cost is near runs + m log m, not runs x m.
 Then: equal texts count once (by MD5); BANDS bands of ROWS values meet in buckets; each text is compared with its
 bucket's hub (joins, no pairs within a bucket); links join classes; and in buckets that still hold several classes the
 members are compared with one another inside the task, in blocks of bounded size, of which only links that join two
-classes come out. Every link counts on the exact overlap of the bags; signatures only choose what to compare (a pair at
+classes come out. The bucket's most frequent class is not compared with itself: with n members outside of it, each of the
+bucket's texts is sent to about n / BLOCK groups. Every link counts on the exact overlap of the bags; signatures only choose what to compare (a pair at
 0.8 meets in a bucket with probability 0.9995, and in blocks pairs are passed over whose signatures agree in fewer than
 ESTIMATE of the components).
 
@@ -256,11 +257,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = components(edges, nodes)
 
     # buckets whose members other than the hub are in several classes: compared within, as far as labels differ
-    held = spots.where("size > 2").join(labels, "n")
-    split = held.where("n <> hub").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = held.join(split, "bucket", "left_semi").select("bucket", "n", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("n", F.lit(1)), blocks).cast("int").alias("block"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "label", "block")
+    held = spots.where("size > 2 AND n <> hub").join(labels, "n")
+    counts = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    mains = counts.groupBy("bucket").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.max("of_label").alias("of_main"), F.sum("of_label").alias("all")).where("of_main < all")
+    # the most frequent label's members are not compared with one another: its blocks (below 0) meet the others' alone
+    pieces = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    dealt = held.join(mains, "bucket").select("bucket", "n", "label", (F.col("label") == F.col("main")).alias("is_main"), pieces(F.col("of_main")).alias("main_blocks"), pieces(F.col("all") - F.col("of_main")).alias("blocks"))
+    spot = F.pmod(F.xxhash64("n", F.lit(1)), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("is_main"), -1 - spot).otherwise(spot))
+    first, last = F.when(F.col("is_main"), F.lit(0)).otherwise(-F.col("main_blocks")), F.col("blocks") - 1
+    met = dealt.withColumn("other", F.explode(F.sequence(first, last))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "label", "block")
     # these links join labels, so the labels are the nodes of what is left to do
     more = cut(_links(met.join(unfolded, "n")).distinct())
     ends = labels.select(F.col("n").alias("a"), F.col("label").alias("x")), labels.select(F.col("n").alias("b"), F.col("label").alias("y"))

@@ -274,6 +274,20 @@ def test_mix_stays_within_one_block(spark):
             done[slots[t]] += 1
 
 
+@pytest.mark.parametrize("shares", [[5, 1, 3, 1, 1], [1] * 30, [400, 1, 1, 300, 2, 1] + [1] * 20, [7, 2, 2, 2], [1], [333, 333, 334]])
+def test_schedule_against_step_by_step(spark, shares):
+    """Earliest deadline first among the released blocks, one slot after another; ties by name."""
+    names = [f"s{i:03}" for i in range(len(shares))]
+    period, done, want = sum(shares), [0] * len(shares), []
+    for t in range(period):
+        ready = [(-(-(done[i] + 1) * period // a), i) for i, a in enumerate(shares) if done[i] < a and done[i] * period // a <= t]
+        i = min(ready)[1]
+        want.append((names[i], done[i], t))
+        done[i] += 1
+    got = mixing.schedule(spark.createDataFrame(list(zip(names, shares)), "src string, a bigint")).collect()
+    assert sorted((r.src, r.k, r.slot) for r in got) == sorted(want)
+
+
 def test_ranks_of_one_hot_id(spark):
     """A third of the rows without an id, another id on many rows: ranks have no gaps and follow the ids' MD5."""
     import hashlib
@@ -638,14 +652,36 @@ def test_overlap_is_the_multiset_one(spark):
     assert abs(bagminhash.overlap(bag[0], bag[1]) - jaccard(shingles(a), shingles(b))) < 1e-9
 
 
-def test_classes_against_brute_force(spark):
-    rows = [(i, prose(i, 150)) for i in range(12)]
-    for k in range(40):  # a large group with light and heavy edits of one text
-        rows.append((100 + k, edited(rows[0][1], [1, 2, 3, 5, 8, 12, 20][k % 7], k)))
-    for k in range(30):  # a chain in which each is a near copy of the one before alone
-        rows.append((200 + k, edited(rows[-1][1] if k else rows[1][1], 2, 500 + k)))
-    rows += [(300, rows[2][1]), (301, "a b"), (302, "a b"), (303, "a c"), (304, ""), (305, "")]
-    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].join(bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))[1], "node").collect()}
+@pytest.mark.parametrize("block", [1, 2, 5, 512])
+def test_classes_whatever_the_blocks(spark, monkeypatch, block):
+    """Large buckets: texts of one template in several classes; blocks of any size give the same classes."""
+    monkeypatch.setattr(bagminhash, "BLOCK", block)  # read on the driver alone
+    base, rows = prose(50, 120), []
+    for k in range(5):
+        mine = edited(base, 3, 900 + k)  # templates differ by less than the limit at first, then drift
+        for i in range(6):
+            rows.append((100 * k + i, edited(mine, [0, 1, 1, 2, 4, 9][i], 1000 + 10 * k + i)))
+    whole = bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.class_id for r in whole[0].join(whole[1], "node").collect()}
+    assert got == by_all_pairs(rows)
+
+
+def test_recall_against_all_pairs(spark):
+    """Of the pairs of sf0.01's documents at 0.8 or more, found by all pairs that share a run, those in one class."""
+    docs = duckdb.connect().sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY 1").fetchall()
+    cls = {r.doc_id: r.class_id for r in QUERIES["op8_bagminhash"](spark, "/root/testdata/sf0.01").collect()}
+    bags, places, pairs = {d: shingles(t) for d, t in docs}, {}, set()
+    for d, bag in bags.items():
+        for run in bag:
+            places.setdefault(run, []).append(d)
+    for ids in places.values():
+        pairs |= {(a, b) for k, b in enumerate(ids) for a in ids[:k]}
+    near = [(a, b) for a, b in pairs if jaccard(bags[a], bags[b]) >= 0.8]
+    assert len(near) > 50 and sum(cls[a] == cls[b] for a, b in near) == len(near)
+
+
+def by_all_pairs(rows):
+    """doc_id -> the smallest doc_id of its class."""
     bags, parent = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
 
     def root(x):
@@ -658,7 +694,28 @@ def test_classes_against_brute_force(spark):
             if ta == tb or jaccard(bags[a], bags[b]) >= 0.8:
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    assert got == {d: root(d) for d, _ in rows}
+    return {d: root(d) for d, _ in rows}
+
+
+def test_classes_against_brute_force(spark):
+    rows = [(i, prose(i, 150)) for i in range(12)]
+    for k in range(40):  # a large group with light and heavy edits of one text
+        rows.append((100 + k, edited(rows[0][1], [1, 2, 3, 5, 8, 12, 20][k % 7], k)))
+    for k in range(30):  # a chain in which each is a near copy of the one before alone
+        rows.append((200 + k, edited(rows[-1][1] if k else rows[1][1], 2, 500 + k)))
+    rows += [(300, rows[2][1]), (301, "a b"), (302, "a b"), (303, "a c"), (304, ""), (305, "")]
+    whole = bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.class_id for r in whole[0].join(whole[1], "node").collect()} == by_all_pairs(rows)
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    t = prose(70, 60)
+    rows = [(1, t), (1, t), (2, t), (None, prose(71, 50)), (None, prose(71, 50)), (3, edited(t, 1, 1)), (4, ""), (4, ""), (5, prose(72, 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, whole = bagminhash.classes(docs)
+    kept = got.join(whole, "node").where("first AND row = rep_row").collect()
+    assert sorted(map(str, (r.doc_id for r in kept))) == ["1", "4", "5", "None"]
+    assert sorted(map(str, (r.doc_id for r in bagminhash.keep_one(docs).collect()))) == ["1", "4", "5", "None"]
 
 
 # --- rules
@@ -778,6 +835,26 @@ def test_audit_finds_missing_records(spark):
     assert not any(r.root_ok for r in rows)
 
 
+def test_two_replicas_from_their_files(spark):
+    """Records written as WARC bytes, read back, and two damaged copies of the files compared."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 60")
+    rows = {r.page_id: (r.html, r.r) for r in pages.select("page_id", "html", warc.record().alias("r")).collect()}
+    whole = b"".join(rows[k][1].encode() for k in sorted(rows))
+    read = warc.warc_records(spark.createDataFrame([("f", bytearray(whole)), ("none", None), ("broken", bytearray(whole[:-9])), ("junk", bytearray(b"x"))], "idx string, blob binary"), "idx", "blob").collect()
+    mine = [r for r in read if r.idx_ == "f"]
+    assert [bytes(r.body).decode() for r in mine] == [rows[k][0] for k in sorted(rows)] and not any(r.error for r in mine)
+    assert [r.offset for r in mine] == [sum(x.length for x in mine[:k]) for k in range(len(mine))]
+    assert sum(r.idx_ == "broken" and not r.error for r in read) == len(rows) - 1 and sum(r.error is not None for r in read) == 2
+    ids = [f"urn:{r.idx}" for r in mine]
+    a = spark.createDataFrame([(i, r.digest) for i, r in zip(ids, mine) if i != ids[5]] + [(None, "x")], "record string, digest string")
+    b = spark.createDataFrame([(i, "rot" if i == ids[9] else r.digest) for i, r in zip(ids, mine) if i != ids[7]] + [("new", "n"), (ids[0], mine[0].digest)], "record string, digest string")
+    got = warc.audit_replicas(a, b).collect()
+    assert {r.record for r in got if not r.ok} == {ids[5], ids[7], ids[9], "new", None} and len(got) == len(ids) + 2
+    assert warc.audit_replicas(a.limit(0), b.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
