@@ -762,10 +762,12 @@ def q_store_set_chi(spark, sf):
     return store.checkpoint_items().select("key", "value", F.lit(m["batches"]).cast("long").alias("batches"), F.lit(m["checkpoints"]).cast("long").alias("checkpoints"))
 
 
-@query("SELECT CAST(5 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS checkpoints, CAST(1 AS BIGINT) AS deltas, CAST(4 AS BIGINT) AS upper")
+@query(f"WITH f AS (SELECT DISTINCT key, seq * 5 // (SELECT max(o_orderkey) + 1 FROM orders) AS part FROM ({OE}) e), c AS ({fold_sql(f'SELECT * FROM ({OE}) e WHERE seq * 5 // (SELECT max(o_orderkey) + 1 FROM orders) < 4')}) SELECT CAST(count(DISTINCT part) AS BIGINT) AS batches, CAST(count(DISTINCT part) // 2 AS BIGINT) AS checkpoints, CAST(count(DISTINCT part) % 2 AS BIGINT) AS deltas, CAST(max(part) AS BIGINT) AS upper, count(*) AS edits, count(*) FILTER (part = 4) AS delta_rows, (SELECT count(*) FROM c WHERE op IN (2, 3, 4)) AS snapshot_rows FROM f")
 def q_store_metrics(spark, sf):
+    """Counters of a store that five batches went through with chi 2."""
+    names = ("batches", "checkpoints", "deltas", "upper", "edits", "delta_rows", "snapshot_rows")
     m = _filled(spark, sf, 2).metrics()
-    return spark.createDataFrame([tuple(m[k] for k in ("batches", "checkpoints", "deltas", "upper"))], "batches bigint, checkpoints bigint, deltas bigint, upper bigint")
+    return spark.createDataFrame([tuple(m[k] for k in names)], ", ".join(f"{k} bigint" for k in names))
 
 
 def _streamed(spark, sf, name: str, build, columns: list[str]) -> DataFrame:
