@@ -260,6 +260,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = spots.where("size > 2 AND n <> hub").join(labels, "n")
     counts = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("of_label"))
     mains = counts.groupBy("bucket").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.max("of_label").alias("of_main"), F.sum("of_label").alias("all")).where("of_main < all")
+    mains = cut(mains)  # cut, so that the join with a bucket of very many texts can be split by size
     # the most frequent label's members are not compared with one another: its blocks (below 0) meet the others' alone
     pieces = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     dealt = held.join(mains, "bucket").select("bucket", "n", "label", (F.col("label") == F.col("main")).alias("is_main"), pieces(F.col("of_main")).alias("main_blocks"), pieces(F.col("all") - F.col("of_main")).alias("blocks"))
