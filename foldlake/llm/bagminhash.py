@@ -278,7 +278,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = distinct.select("node", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("rep_row"))
     joined = texts.join(labels, "n").select("node", "rep", "label")
-    named_by = joined.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("class"))
+    named_by = cut(joined.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("class")))  # cut, as above: a class can be large
     near = joined.join(named_by, "label").select("node", "class")
     whole = texts.join(near, "node", "left").select("node", "rep", "rep_row", F.coalesce(F.col("class"), F.struct("rep", "node")).alias("class"))
     whole = whole.select("node", "rep", "rep_row", F.col("class.rep").alias("class_id"), (F.col("class.node") == F.col("node")).alias("first"))
