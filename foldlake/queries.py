@@ -464,11 +464,12 @@ def q_value_codec(spark, sf):
     return o.select("o_orderkey", values.as_i32(F.col("b")).alias("back"), F.octet_length("b").alias("size"), F.lower(F.hex("b")).alias("bytes"))
 
 
-@query("SELECT n, CAST(CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN -2 WHEN n = 2 THEN 510 WHEN n = 3 THEN -130562 ELSE 2080244222 END AS BIGINT) AS v FROM range(0, 6) t(n)")
+@query("SELECT o_orderkey, CASE WHEN k = 0 THEN 0 WHEN v >= CAST(pow(256, k) AS BIGINT) // 2 THEN v - CAST(pow(256, k) AS BIGINT) ELSE v END AS v FROM (SELECT o_orderkey, k, CAST(coalesce(list_sum(list_transform(range(0, k), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT) * CAST(pow(256, i) AS BIGINT))), 0) AS BIGINT) AS v FROM (SELECT o_orderkey, lpad(printf('%X', CAST(floor(o_totalprice) AS BIGINT) * 7919993), 12, '0') AS h, least(o_orderkey % 7, 4) AS k FROM orders) a) b")
 def q_as_i32(spark, sf):
-    """Prefixes of fe 01 fe 7b 09 00 read by their lengths."""
-    lengths = ["", "FE", "FE01", "FE01FE", "FE01FE7B", "FE01FE7B09"]
-    return spark.createDataFrame(list(enumerate(lengths)), "n bigint, h string").select("n", values.as_i32(F.unhex("h")).alias("v"))
+    """Bytes of orders' prices, none to six of them, read as little-endian integers of their length, four at most."""
+    h = F.lpad(F.hex(F.floor("o_totalprice").cast("long") * 7919993), 12, "0")
+    o = src.table(spark, sf, "orders").select("o_orderkey", F.unhex(F.substring(h, F.lit(1), (F.col("o_orderkey") % 7 * 2).cast("int"))).alias("b"))
+    return o.select("o_orderkey", values.as_i32(F.col("b")).alias("v"))
 
 
 @query(f"SELECT key, seq, CAST((CASE WHEN length(CAST(i32 AS VARCHAR)) <= 8 THEN -9223372036854775808 ELSE 0 END) + CAST(op AS BIGINT) * 281474976710656 + length(CAST(i32 AS VARCHAR)) AS BIGINT) AS tag, CAST(op AS INT) AS op_back, CAST(length(CAST(i32 AS VARCHAR)) AS BIGINT) AS size_back, length(CAST(i32 AS VARCHAR)) <= 8 AS inline_back FROM ({OE}) e")

@@ -395,6 +395,12 @@ def test_i32_codec(spark):
     assert all(r.v == r.back == r.w for r in df.collect())
 
 
+def test_prefixes_of_bytes_as_integers(spark):
+    """Of fe 01 fe 7b 09, by length."""
+    df = spark.createDataFrame(list(enumerate(["", "FE", "FE01", "FE01FE", "FE01FE7B", "FE01FE7B09"])), "n bigint, h string")
+    assert [r.v for r in df.select("n", values.as_i32(F.unhex("h")).alias("v")).orderBy("n").collect()] == [0, -2, 510, -130562, 2080244222, 2080244222]
+
+
 def test_sizes():
     t = TreeOptions()
     assert t.max_item_size == 585 and t.item_size_hint == 133 and t.flush_size + t.trie_reserve == t.leaf_size
