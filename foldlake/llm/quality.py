@@ -33,7 +33,8 @@ SHAPE_WEIGHT = 2.0
 KNOTS = np.array([0.0, 0.02, 0.08, 0.2, 0.45, 1.0])
 SHAPES = 9
 BLOCK = 1 << 20
-STEPS = 1 << 16
+#: Similarities are compared in steps; texts whose similarities are held at once.
+STEPS, AT_ONCE = 1 << 16, 64
 TERMS = HASHED + SHAPES * len(KNOTS)
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower case or beyond ASCII, 2 capital, 3 digit, 4 white space, 5 sentence marks, 6 symbols
@@ -86,12 +87,14 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        cosines = self.latent(np.stack([vector(t) for t in texts])) @ self.vectors.T
-        k, n = min(NEIGHBOURS, len(self.labels)), len(self.labels)
-        steps = np.rint(cosines * STEPS).astype(np.int64)
-        near = np.argpartition(np.arange(n) - steps * n, k - 1, axis=1)[:, :k]  # vectors go by id
-        votes = np.maximum(np.take_along_axis(steps, near, 1) / STEPS, 1e-6)
-        return np.clip((votes * self.labels[near]).sum(1) / votes.sum(1), 0.0, 1.0)
+        k, n, out = min(NEIGHBOURS, len(self.labels)), len(self.labels), []
+        for i in range(0, len(texts), AT_ONCE):
+            cosines = self.latent(np.stack([vector(t) for t in texts[i : i + AT_ONCE]])) @ self.vectors.T
+            steps = np.rint(cosines * STEPS).astype(np.int64)
+            near = np.argpartition(np.arange(n) - steps * n, k - 1, axis=1)[:, :k]  # vectors go by id
+            votes = np.maximum(np.take_along_axis(steps, near, 1) / STEPS, 1e-6)
+            out.append((votes * self.labels[near]).sum(1) / votes.sum(1))
+        return np.clip(np.concatenate(out) if out else np.zeros(0), 0.0, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Model:
