@@ -771,6 +771,22 @@ def q_store_metrics(spark, sf):
     return spark.createDataFrame([tuple(m[k] for k in names)], ", ".join(f"{k} bigint" for k in names))
 
 
+SIXTHS = "seq * 6 // (SELECT max(o_orderkey) + 1 FROM orders)"
+
+
+@query(f"SELECT CAST(b AS BIGINT) AS batch, CAST((b + 1) // 3 AS BIGINT) AS checkpoints, CAST((b + 1) % 3 AS BIGINT) AS deltas, CASE (b + 1) // 3 WHEN 0 THEN 0 WHEN 1 THEN (SELECT count(*) FROM ({fold_sql(f'SELECT * FROM ({OE}) e WHERE {SIXTHS} < 3')}) f WHERE op IN (2, 3, 4)) ELSE (SELECT count(*) FROM ({ITEMS}) i) END AS snapshot_rows FROM (SELECT DISTINCT {SIXTHS} AS b FROM ({OE}) e) d")
+def q_store_checkpoints(spark, sf):
+    """What a store with chi 3 holds after each of six batches: a checkpoint after every third."""
+    e = src.order_edits(spark, sf)
+    n = (e.agg(F.max("seq")).first()[0] or 0) + 1
+    store, rows = Store.create(spark, f"{scratch(spark, 'store')}/s", StoreOptions(chi=3, policy="tiered")), []
+    for b in range(6):
+        store.append(e.where(F.expr(f"seq * 6 div {n} = {b}")), b)
+        m = store.metrics()
+        rows.append((b, m["checkpoints"], m["deltas"], m["snapshot_rows"]))
+    return spark.createDataFrame(rows, "batch bigint, checkpoints bigint, deltas bigint, snapshot_rows bigint")
+
+
 def _streamed(spark, sf, name: str, build, columns: list[str]) -> DataFrame:
     """What a streaming query over a table's rows, as Parquet files in the shared folder, has written when it ends."""
     feed, out = scratch(spark, "feed"), f"{scratch(spark, 'live')}/rows"
