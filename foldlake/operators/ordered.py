@@ -90,8 +90,12 @@ def carried(df: DataFrame, by: str, order: str, inside: Column, summary: Column,
 
     Groups fall into parts of ``chunk`` values of ``order``. ``inside`` is a window function, computed within each part;
     ``summary`` is an aggregate of a part, and ``over_parts`` makes of it what all parts before hand on, over a window of
-    the group's parts. So a group with very many rows is many tasks' work; parts are as many as its rows / ``chunk``.
+    the group's parts. So a group with very many rows is many tasks' work; parts are as many as its rows / ``chunk``. Where
+    the whole table's ``order`` spans less than that, no group has more than one part, and the window alone does.
     """
+    span = df.agg(F.max(order) - F.min(order)).first()[0]
+    if span is None or span < chunk:
+        return df.withColumns({"__inside": inside.over(Window.partitionBy(by).orderBy(order)), "__carry": F.lit(None)})
     parted = _parted(df, order, chunk)
     ends = parted.groupBy(by, "__part").agg(summary.alias("__end"))
     handed = ends.select(by, "__part", over_parts(F.col("__end")).over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))

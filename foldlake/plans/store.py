@@ -161,7 +161,7 @@ class Store:
         rows, top = self._write(fold(edits.select(*COLUMNS)), name)
         deltas = [*s["deltas"], {"path": name, "level": 0, "rows": rows, "moved": []}]
         self._commit(s | {"n": s["n"] + 1, "upper": batch_id, "seq": max(s["seq"], top), "deltas": deltas, "pending": s.get("pending", 0) + 1, "metrics": s["metrics"] | {"batches": s["metrics"]["batches"] + 1, "edits": s["metrics"]["edits"] + rows}})
-        if self.options.policy == "levelled":
+        if self.options.policy == "levelled" and self._state["pending"] < self.chi:  # else a checkpoint folds them all
             self._merge_levels()
         elif self.options.policy == "pivot":
             while self._state["snapshot"] and self.flush_fullest(self.options.min_flush):
