@@ -85,15 +85,17 @@ def _parted(df: DataFrame, order: str, chunk: int) -> DataFrame:
     return df.withColumn("__part", F.floor(F.col(order) / chunk).cast("long"))
 
 
-def carried(df: DataFrame, by: str, order: str, inside: Column, summary: Column, over_parts: Callable[[Column], Column], chunk: int = CHUNK) -> DataFrame:
+def carried(df: DataFrame, by: str, order: str, inside: Column, summary: Column, over_parts: Callable[[Column], Column], chunk: int = CHUNK, span: int | None = None) -> DataFrame:
     """``df`` with __inside and __carry, for a computation along ``order`` in each group of ``by`` that is split.
 
     Groups fall into parts of ``chunk`` values of ``order``. ``inside`` is a window function, computed within each part;
     ``summary`` is an aggregate of a part, and ``over_parts`` makes of it what all parts before hand on, over a window of
     the group's parts. So a group with very many rows is many tasks' work; parts are as many as its rows / ``chunk``. Where
-    the whole table's ``order`` spans less than that, no group has more than one part, and the window alone does.
+    the whole table's ``order`` spans less than that, no group has more than one part, and the window alone does. A
+    caller that knows this ``span`` gives it, else a job over ``df`` finds it.
     """
-    span = df.agg(F.max(order) - F.min(order)).first()[0]
+    if span is None:
+        span = df.agg(F.max(order) - F.min(order)).first()[0]
     if span is None or span < chunk:
         return df.withColumns({"__inside": inside.over(Window.partitionBy(by).orderBy(order)), "__carry": F.lit(None)})
     parted = _parted(df, order, chunk)

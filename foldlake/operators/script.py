@@ -13,13 +13,15 @@ from .ranges import route
 
 #: Keys that a scan looks at together.
 GROUP = 256
+#: Scans that a copy of a group's keys serves; pairs of a scan and a group, or keys, that go to all tasks.
+LOAD, FEW = 4096, 1 << 16
 
 
-def _last_put(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``lines`` with ``found``: the value last put to the key in front of each; hot keys are split."""
+def _last_put(lines: DataFrame, chunk: int = CHUNK, span: int | None = None) -> DataFrame:
+    """``lines`` with ``found``: the value last put to the key in front of each; hot keys are split. ``span``: of times, if known."""
     put = F.when(F.col("op") == "P", F.col("value"))
     # a part's own row counts as well, but only answers are looked at, and they put nothing
-    both = carried(lines, "key", "at", F.last(put, ignorenulls=True), F.max_by(put, F.when(F.col("op") == "P", F.col("at"))), lambda end: F.last(end, ignorenulls=True), chunk)
+    both = carried(lines, "key", "at", F.last(put, ignorenulls=True), F.max_by(put, F.when(F.col("op") == "P", F.col("at"))), lambda end: F.last(end, ignorenulls=True), chunk, span)
     return both.withColumn("found", F.coalesce("__inside", "__carry")).drop("__inside", "__carry")
 
 
@@ -34,43 +36,75 @@ def check_gets(script: DataFrame) -> DataFrame:
     return answer_gets(script).where((F.col("op") == "T") & ~F.col("found").eqNullSafe(F.col("expected")))
 
 
-def answer_scans(script: DataFrame, group: int = GROUP) -> DataFrame:
+def _met(asks: DataFrame, groups: DataFrame, n: int, few: int) -> DataFrame:
+    """``asks`` with the keys of their group. Few asks go to all groups; else a group with many asks is dealt out in copies,
+    one for each LOAD asks, so that no task has all asks of a hot group."""
+    if n <= few:
+        return groups.select("group", "keys").join(F.broadcast(asks), "group")
+    copies = asks.groupBy("group").agg(F.count(F.lit(1)).alias("__copies")).withColumn("__copies", F.expr(f"cast((__copies - 1) div {LOAD} + 1 as int)"))
+    dealt = asks.join(copies, "group").withColumn("__copy", F.pmod(F.xxhash64("at"), "__copies").cast("int")).drop("__copies")
+    asked = groups.select("group", "keys").join(copies, "group").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    parts = min(n // LOAD + 1, 8192)  # by the work, which is more than the rows' size tells
+    by = ("group", "__copy")
+    return dealt.repartition(parts, *by).join(asked.repartition(parts, *by), list(by)).drop("__copy")
+
+
+def answer_scans(script: DataFrame, group: int = GROUP, few: int = FEW) -> DataFrame:
     """(at, rank, key, value) for each S or V line: the first n keys from its key on that were put before it, and the
     values last put before it; ranks from 0. Scans without a row give none.
 
-    Keys, with the time they were first put, lie in groups of ``group`` by their order. A scan meets its own group's keys
-    by a join on the group's number; while it lacks rows, it meets the next 1, 2, 4, ... groups. So it reads about as many
-    keys as it needs, and the number of rounds follows the logarithm of the longest way. Values then come as for gets.
+    Keys, with the time they were first put, lie in groups of ``group`` by their order, a row for each group. A scan takes
+    what it needs of its own group's row; while it lacks rows, it meets the next 1, 2, 4, ... groups, and all the rest once
+    that is at most ``few`` pairs of a scan and a group. So it reads about as many keys as it needs, no key is a row that
+    moves unless it is an answer, and the number of rounds follows the logarithm of the longest way. Values then come as
+    for gets; where answers have at most ``few`` keys, from the puts to these alone.
     """
     puts = script.where("op = 'P'")
-    first = puts.groupBy("key").agg(F.min("at").alias("since"))
-    keys = cut(running_total(first, F.lit(1), "rn").select("key", "since", F.expr(f"(rn - 1) div {group}").cast("int").alias("group")))
-    last = keys.agg(F.max("group")).first()[0]
+    first = puts.groupBy("key").agg(F.min("at").alias("since"), F.max("at").alias("until"))
+    keys = running_total(first, F.lit(1), "rn").select("key", "since", "until", F.expr(f"(rn - 1) div {group}").cast("int").alias("group"))
+    groups = cut(keys.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("key", "since"))).alias("keys"), F.min("since").alias("since"), F.max("until").alias("until")))  # ``group`` at most
+    last, since, until = groups.agg(F.max("group"), F.min("since"), F.max("until")).first()
     scans = script.where("op IN ('S', 'V')").select("at", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
     if last is None:
         return scans.where("false").select("at", F.lit(0).alias("rank"), "key", F.lit("").alias("value"))
     # the first group begins below every key
-    lows = keys.groupBy("group").agg(F.min("key").alias("key")).select(F.when(F.col("group") == 0, F.lit("")).otherwise(F.col("key")).alias("key"))
-    open_ = cut(route(scans, lows).select("at", F.col("key").alias("low"), F.col("n").alias("need"), F.col("pivot").alias("next"), F.lit(0).alias("have")))
+    lows = groups.select(F.when(F.col("group") == 0, F.lit("")).otherwise(F.col("keys")[0]["key"]).alias("key"))
+    open_ = cut(route(scans.where("n > 0"), lows).select("at", F.col("key").alias("low"), F.col("n").alias("need"), F.col("pivot").alias("next"), F.lit(0).alias("have")))
+    asked_at = open_.agg(F.min("at"), F.max("at")).first()
+    times = [t for t in (since, until, *asked_at) if t is not None]
     found, width = [], 1
-    while open_.limit(1).count():
-        met = open_.withColumn("group", F.explode(F.sequence("next", F.least(F.col("next") + (width - 1), F.lit(last)))))
-        met = met.join(keys, "group").where("key >= low AND since < at")
-        nth = F.row_number().over(Window.partitionBy("at").orderBy("key"))
-        hits = cut(met.withColumn("nth", nth).where("nth <= need").select("at", (F.col("have") + F.col("nth") - 1).cast("int").alias("rank"), "key"))
-        found.append(hits)
-        got = hits.groupBy("at").agg(F.count(F.lit(1)).cast("int").alias("got"))
-        open_ = open_.join(got, "at", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-        open_ = open_.select("at", "low", (F.col("need") - F.col("got")).alias("need"), (F.col("next") + width).alias("next"), (F.col("have") + F.col("got")).alias("have"))
-        open_ = cut(open_.where((F.col("need") > 0) & (F.col("next") <= last)))
+    while n := open_.count():
+        if n * (last + 1) <= few:
+            width = last + 1
+        asks = open_.withColumn("group", F.explode(F.sequence("next", F.least(F.col("next") + (width - 1), F.lit(last))))) if width > 1 else open_.withColumn("group", F.col("next"))
+        hits = F.slice(F.filter("keys", lambda k: (k["key"] >= F.col("low")) & (k["since"] < F.col("at"))), F.lit(1), F.col("need"))
+        met = _met(asks, groups, n * width, few).select("at", "low", "need", "next", "have", "group", F.transform(hits, lambda k: k["key"]).alias("hits"))
+        if width > 1:  # what the groups before it leave to a group
+            before = F.coalesce(F.sum(F.size("hits")).over(Window.partitionBy("at").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            met = met.withColumn("before", before.cast("int")).withColumn("hits", F.slice("hits", F.lit(1), F.greatest(F.col("need") - F.col("before"), F.lit(0))))
+        else:
+            met = met.withColumn("before", F.lit(0))
+        met = cut(met)
+        found.append(met.where(F.size("hits") > 0).select("at", (F.col("have") + F.col("before")).alias("rank"), "hits"))
+        rest = met.select("at", "low", "need", "next", "have", F.size("hits").alias("got"))
+        if width > 1:
+            rest = rest.groupBy("at", "low", "need", "next", "have").agg(F.sum("got").cast("int").alias("got"))
+        rest = rest.select("at", "low", (F.col("need") - F.col("got")).alias("need"), (F.col("next") + width).alias("next"), (F.col("have") + F.col("got")).alias("have"))
+        open_ = cut(rest.where((F.col("need") > 0) & (F.col("next") <= last)))
         width *= 2
+    if not found:
+        return scans.where("false").select("at", F.lit(0).alias("rank"), "key", F.lit("").alias("value"))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
     # each hit is a get at its scan's time
-    asked = hits.select("at", F.lit("G").alias("op"), "key", F.lit(None).cast("string").alias("value"), "rank")
+    hits = hits.select("at", "rank", F.posexplode("hits").alias("pos", "key"))
+    asked = hits.select("at", F.lit("G").alias("op"), "key", F.lit(None).cast("string").alias("value"), (F.col("rank") + F.col("pos")).alias("rank"))
+    answers = asked.select("key").distinct()
+    if answers.limit(few + 1).count() <= few:
+        puts = puts.join(F.broadcast(answers), "key", "left_semi")
     both = puts.select("at", "op", "key", "value", F.lit(None).cast("int").alias("rank")).unionByName(asked)
-    return _last_put(both).where("op = 'G'").select("at", "rank", "key", F.col("found").alias("value"))
+    return _last_put(both, span=max(times) - min(times)).where("op = 'G'").select("at", "rank", "key", F.col("found").alias("value"))
 
 
 def check_scans(script: DataFrame) -> DataFrame:

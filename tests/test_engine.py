@@ -258,6 +258,27 @@ def test_places_in_bounds(spark):
     assert all(r.n == sum(b <= r.key for b in bounds) for r in df.collect())
 
 
+@pytest.mark.parametrize("few", [0, 5])
+def test_scans_of_a_hot_group_are_dealt_out(spark, few, monkeypatch):
+    monkeypatch.setattr(script, "LOAD", 3)
+    r = random.Random(few)
+    lines = [f"P k{r.randrange(60):02} v{i}" if r.random() < 0.6 else f"S k{r.choice([3, 3, 3, 40]):02} {r.choice([0, 1, 7, 30])}" for i in range(150)]
+    want = [(i, w[4:]) for i, w in enumerate(x.split() for x in script.golden(lines)) if w[0] == "V" and w[3] != "0"]
+    parsed = src.parse_workload(spark.createDataFrame(list(enumerate(lines)), "at int, value string"), at="at")
+    got: dict = {}
+    for x in script.answer_scans(parsed, 4, few).orderBy("at", "rank").collect():
+        assert x.rank == len(got.setdefault(x.at, [])) // 2
+        got[x.at] += [x.key, x.value]
+    assert sorted(got.items()) == want
+
+
+def test_a_script_line_is_split_once(spark):
+    lines = spark.createDataFrame([(0, " P a 1"), (1, "S a 3"), (2, "# x"), (3, None)], "at int, value string")
+    puts = src.parse_workload(lines, at="at").where("op = 'P'")
+    assert puts._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(x) for x in puts.collect()] == [(0, "P", "a", "1", None, None)]
+
+
 def test_odometer(spark):
     state, want = [0] * 3, []
     for _ in range(800):
