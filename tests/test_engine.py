@@ -290,6 +290,13 @@ def test_odometer(spark):
     assert [r.value for r in generators.sequential_values(spark, 800, 3).orderBy("id").collect()] == want
 
 
+def test_odometer_turns_all_places(spark):
+    ids = [0, 27**4 - 2, 27**4 - 1, 27**4, 899999, 27**7, 27**8 - 1]
+    want = ["".join("_abcdefghijklmnopqrstuvwxyz"[(i + 1) // 27**k % 27] for k in range(8)) for i in ids]
+    got = spark.createDataFrame([(i,) for i in ids], "id bigint").select(values.sequential_text(F.col("id"), 8).alias("v")).collect()
+    assert [r.v for r in got] == want and want[1:3] == ["zzzz____", "____a___"]
+
+
 def test_result_sink_reads_back(spark, tmp_path):
     runs = spark.createDataFrame([("a b", 4, 1.5, None), ("c", 8, 2.0, 7.25)], "workload string, threads int, kops double, latency_us double")
     src.write_results(runs, str(tmp_path / "log"))
