@@ -317,6 +317,22 @@ def test_windows_of_wide_characters(spark):
     assert sorted((r.at, r.key, r.value) for r in got) == [(i, text[i : i + 24], text[i : i + 100]) for i in range(len(text) - 99)]
 
 
+@pytest.mark.parametrize("key_size, value_size, step", [(24, 100, 1), (24, 100, 3), (24, 100, 100), (30, 8, 1), (5, 5, 2), (1, 1, 1), (20, 40, 17)])
+def test_windows_in_blocks(spark, key_size, value_size, step):
+    r = random.Random(8)
+    texts = [*("".join(r.choice(letters) for _ in range(n)) for letters in ("ab c", "aé中\U0001f600", "aaaaaaaaaaaaaaaé") for n in (1, 29, 30, 99, 100, 101, 115, 116, 117, 250)), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = src.byte_windows(df, "text", key_size, value_size, step)
+    assert got.columns == ["id", "text", "at", "key", "value"]
+    assert src.byte_windows(df.withColumnRenamed("text", "value"), "value", key_size, value_size, step).columns == ["id", "value", "at", "key"]
+    assert sorted((x.id, x.at, x.key, x.value) for x in got.collect()) == [(k, i, t[i : i + key_size], t[i : i + value_size]) for k, t in enumerate(texts) if t is not None for i in range(0, len(t) - max(key_size, value_size) + 1, step)]
+
+
+def test_no_window_is_decoded_by_itself(spark):
+    plan = src.byte_windows(spark.createDataFrame([(0, "é" * 200)], "id int, text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UTF-32" in plan and "UTF-32" not in plan.partition("Generate explode")[0]
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 22])
 def test_groups_split_in_chunks(spark, chunk):
     r = random.Random(4)
